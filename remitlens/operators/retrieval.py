@@ -13,12 +13,13 @@ given weight. It is never materialised, so its vocabulary may be any size.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from remitlens.session import small_rows, stage
@@ -176,9 +177,138 @@ def _to_beat(best: DataFrame, fetch: int) -> DataFrame:
     )
 
 
+@dataclass
+class VectorIndex:
+    """A prepared index: deduplicated, clustered and written once, searched many times."""
+
+    members: DataFrame  # (_i1, _i2, _members): up to ``keep`` payload rows per distinct vector
+    placed: DataFrame  # vectors with their cluster
+    pivots: np.ndarray
+    clusters: dict[int, tuple[float, float, float]]  # cluster -> (radius, base radius, base share)
+    metric: str
+    weight: float
+    anchored: bool
+    timed: bool
+    keep: int
+    payload: list[str]
+    block: tuple[int, int]
+
+    @property
+    def geometry(self) -> _Geometry:
+        return _Geometry(self.metric, self.weight)
+
+    @property
+    def id_type(self) -> str:
+        return self.placed.schema["_first"].dataType.simpleString()
+
+    def save(self, path: str) -> None:
+        """Write vectors, payload and settings as tables under ``path``."""
+        spark = self.placed.sparkSession
+        self.members.write.mode("overwrite").parquet(f"{path}/members")
+        self.placed.write.mode("overwrite").parquet(f"{path}/placed")
+        head = {
+            "pivots": self.pivots.tolist(), "clusters": [[k, *v] for k, v in self.clusters.items()], "metric": self.metric,
+            "weight": self.weight, "anchored": self.anchored, "timed": self.timed, "keep": self.keep, "payload": self.payload, "block": list(self.block),
+        }
+        spark.createDataFrame([(json.dumps(head),)], "settings string").coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "VectorIndex":
+        head = json.loads(spark.read.parquet(f"{path}/settings").first()["settings"])
+        head["pivots"] = np.array(head["pivots"], dtype=np.float64)
+        head["clusters"] = {int(k): tuple(v) for k, *v in head["clusters"]}
+        head["block"] = tuple(head["block"])
+        return cls(members=spark.read.parquet(f"{path}/members"), placed=spark.read.parquet(f"{path}/placed"), **head)
+
+
+def _shaped(df: DataFrame, vec_col: str, anchor_col: str | None, time_col: str | None, k1: str, k2: str) -> DataFrame:
+    """Add vector, anchor, day and the digest pair that identifies equal search rows."""
+    vec = F.transform(F.col(vec_col), lambda x: x.cast("double") + F.lit(0.0))
+    anchor = F.coalesce(F.col(anchor_col).cast("string"), F.lit("")) if anchor_col else F.lit("")
+    day = F.unix_date(F.col(time_col).cast("date")).cast("long") if time_col else F.lit(0).cast("long")
+    return df.withColumns({"_vec": vec, "_anchor": anchor, "_time": day}).withColumns(
+        dict(zip((k1, k2), _keys(F.col("_anchor"), F.col("_time"), F.col("_vec"))))
+    )
+
+
+def _place(df: DataFrame, columns: Sequence[str], geometry: _Geometry, pivots: np.ndarray) -> DataFrame:
+    """Assign every row to its nearest pivot, with what the bounds need to know."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, known = _matrix(pdf["_vec"]), (pdf["_anchor"] != "").to_numpy().astype(float)
+            far = geometry.to_pivots(x, known, pivots)
+            home = far.argmin(axis=1)
+            row = np.arange(len(x))
+            # A zero vector has no direction: its cluster can never be ruled out.
+            zero = ~x.any(axis=1) & (geometry.metric == "cosine")
+            yield pdf[list(columns)].assign(
+                _home=home.astype(np.int32),
+                _far=np.where(zero, np.pi, far[row, home]),
+                _base=np.where(zero, np.pi, geometry.base_angles(x, pivots)[row, home]),
+                _share=geometry.base_share(x, known),
+            )
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*columns).schema.fields)
+    return df.mapInPandas(run, f"{kept}, _home int, _far double, _base double, _share double")
+
+
+def build_index(
+    index: DataFrame,
+    *,
+    id_col: str,
+    vec_col: str,
+    keep: int,
+    metric: str = "cosine",
+    anchor_col: str | None = None,
+    anchor_weight: float = 0.0,
+    time_col: str | None = None,
+    payload: Sequence[str] = (),
+    block: tuple[int, int] = (8192, 4096),
+) -> VectorIndex:
+    """Prepare index rows for searches of up to ``keep`` results (exclusions included).
+
+    Equal vectors share one search row that lists its ``keep`` first members;
+    surplus copies are cut before the shuffle, so a vector with very many copies
+    costs no more than ``keep`` rows per task.
+    """
+    geometry = _Geometry(metric, anchor_weight if anchor_col else 0.0)
+    shaped = _shaped(index, vec_col, anchor_col, time_col, "_i1", "_i2").select(
+        "_i1", "_i2", "_vec", "_anchor", "_time", F.struct(F.col(id_col).alias("id"), *payload).alias("_member")
+    )
+    w = Window.partitionBy("_i1", "_i2").orderBy("_member.id")
+    reps = stage(
+        shaped.withColumn("_r", F.row_number().over(w))
+        .where(F.col("_r") <= keep)
+        .groupBy("_i1", "_i2")
+        .agg(
+            F.first("_vec").alias("_vec"), F.first("_anchor").alias("_anchor"), F.first("_time").alias("_time"),
+            F.min("_member.id").alias("_first"), F.count("*").cast("int").alias("_m"),
+            F.collect_list("_member").alias("_members"),
+        ),
+        "index",
+    )
+    within = reps.groupBy("_anchor").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    n_pivots = int(max(1, min(MAX_PIVOTS, -(-within // block[1]))))
+    sampled = small_rows(reps.orderBy("_i1", "_i2").select("_vec").limit(n_pivots), MAX_PIVOTS, "pivots")
+    pivots = np.array([r["_vec"] for r in sampled], dtype=np.float64)
+    lean = reps.select(*INDEX_COLS)
+    if len(pivots) <= 1 and not anchor_col:
+        placed, clusters = lean.withColumn("_home", F.lit(0)), {}
+    else:
+        placed = stage(_place(lean, INDEX_COLS, geometry, pivots), "placed")
+        meta = placed.groupBy("_home").agg(F.max("_far").alias("far"), F.max("_base").alias("base"), F.max("_share").alias("share"))
+        clusters = {r["_home"]: (r["far"], r["base"], r["share"]) for r in small_rows(meta, MAX_PIVOTS, "clusters")}
+    return VectorIndex(
+        reps.select("_i1", "_i2", "_members"), placed, pivots, clusters, metric, geometry.weight, bool(anchor_col), bool(time_col), keep, list(payload), block
+    )
+
+
 def nearest(
     queries: DataFrame,
-    index: DataFrame,
+    index: DataFrame | VectorIndex,
     *,
     id_col: str,
     vec_col: str,
@@ -200,54 +330,36 @@ def nearest(
     rounded to nine digits and ties go to the smaller id, so results do not
     depend on blocking. Fewer than k rows come back when the index is smaller.
 
+    ``index`` is a table, or a ``VectorIndex`` built (or loaded) before; the
+    latter fixes metric, anchor weight and payload.
+
     exclude_self: a query never returns the index row with its own id.
     exclude_col: array of ids a query must not return.
     before_col: only rows whose date is strictly earlier than the query's.
     probes: search only that many nearest clusters (approximate, opt-in).
     """
-    geometry = _Geometry(metric, anchor_weight if anchor_col else 0.0)
     fetch = k + (1 if exclude_self else 0)
     if exclude_col:
         fetch += queries.agg(F.max(F.size(exclude_col))).first()[0] or 0
-    first_type = index.schema[id_col].dataType.simpleString()
-
-    def shaped(df: DataFrame, k1: str, k2: str) -> DataFrame:
-        vec = F.transform(F.col(vec_col), lambda x: x.cast("double") + F.lit(0.0))
-        anchor = F.coalesce(F.col(anchor_col).cast("string"), F.lit("")) if anchor_col else F.lit("")
-        day = F.unix_date(F.col(before_col).cast("date")).cast("long") if before_col else F.lit(0).cast("long")
-        return df.withColumns({"_vec": vec, "_anchor": anchor, "_time": day}).withColumns(
-            dict(zip((k1, k2), _keys(F.col("_anchor"), F.col("_time"), F.col("_vec"))))
+    if not isinstance(index, VectorIndex):
+        index = build_index(
+            index, id_col=id_col, vec_col=vec_col, keep=fetch, metric=metric, anchor_col=anchor_col, anchor_weight=anchor_weight,
+            time_col=before_col, payload=payload, block=block,
         )
-
-    # Index: equal vectors share one row that lists its first ``fetch`` members.
-    members = shaped(index, "_i1", "_i2").select(
-        "_i1", "_i2", "_vec", "_anchor", "_time", F.struct(F.col(id_col).alias("id"), *payload).alias("_member")
-    )
-    w = Window.partitionBy("_i1", "_i2").orderBy("_member.id")
-    reps = stage(
-        members.withColumn("_r", F.row_number().over(w))
-        .where(F.col("_r") <= fetch)
-        .groupBy("_i1", "_i2")
-        .agg(
-            F.first("_vec").alias("_vec"), F.first("_anchor").alias("_anchor"), F.first("_time").alias("_time"),
-            F.min("_member.id").alias("_first"), F.count("*").cast("int").alias("_m"),
-            F.collect_list("_member").alias("_members"),
-        ),
-        "index",
-    )
-    asked = shaped(queries, "_q1", "_q2")
-    ask_cols = ["_q1", "_q2", F.col(id_col).alias("query_id"), *([F.col(exclude_col).alias("_exclude")] if exclude_col else [])]
-    asked_ids = asked.select(*ask_cols)
+    if fetch > index.keep:
+        raise ValueError(f"index keeps {index.keep} copies per vector, {fetch} needed")
+    if bool(before_col) != index.timed or bool(anchor_col) != index.anchored:
+        raise ValueError("query and index disagree on date or anchor")
+
+    asked = _shaped(queries, vec_col, anchor_col, before_col, "_q1", "_q2")
+    excluded = [F.col(exclude_col).alias("_exclude")] if exclude_col else []
+    own_ids = asked.select("_q1", "_q2", F.col(id_col).alias("query_id"), *excluded)
     distinct = stage(
         asked.groupBy("_q1", "_q2").agg(F.first("_vec").alias("_vec"), F.first("_anchor").alias("_anchor"), F.first("_time").alias("_time")),
         "queries",
     )
-    lean = reps.select(*INDEX_COLS)
-    best = _search(distinct, lean, geometry, fetch, bool(before_col), bool(anchor_col), probes, block, first_type)
-
-    found = best.join(reps.select("_i1", "_i2", "_members"), ["_i1", "_i2"]).select(
-        "_q1", "_q2", "_cost", F.explode("_members").alias("_member")
-    )
+    best = _search(distinct, index, fetch, probes)
+    found = best.join(index.members, ["_i1", "_i2"]).select("_q1", "_q2", "_cost", F.explode("_members").alias("_member"))
     w = Window.partitionBy("_q1", "_q2").orderBy("_cost", "_member.id")
     lists = (
         found.withColumn("_r", F.row_number().over(w))
@@ -255,79 +367,42 @@ def nearest(
         .groupBy("_q1", "_q2")
         .agg(F.array_sort(F.collect_list(F.struct("_r", "_cost", "_member"))).alias("_found"))
     )
-    own = asked_ids.join(lists, ["_q1", "_q2"])
+    own = own_ids.join(lists, ["_q1", "_q2"])
     kept = F.col("_found")
     if exclude_self:
         kept = F.filter(kept, lambda s: s["_member"]["id"] != F.col("query_id"))
     if exclude_col:
         kept = F.filter(kept, lambda s: ~F.coalesce(F.array_contains("_exclude", s["_member"]["id"]), F.lit(False)))
     flat = own.select("query_id", F.posexplode(F.slice(kept, 1, k)).alias("_pos", "_hit"))
-    score = (
-        F.col("_hit._cost").alias("distance") if metric == "euclidean" else (F.lit(0.0) - F.col("_hit._cost")).alias("similarity")
-    )
+    if index.metric == "euclidean":
+        score = F.col("_hit._cost").alias("distance")
+    else:
+        score = (F.lit(0.0) - F.col("_hit._cost")).alias("similarity")
     return flat.select(
         "query_id", (F.col("_pos") + 1).alias("rank"), F.col("_hit._member.id").alias("neighbour_id"), score,
-        *[F.col(f"_hit._member.{c}").alias(c) for c in payload],
+        *[F.col(f"_hit._member.{c}").alias(c) for c in index.payload],
     )
 
 
-def _search(
-    queries: DataFrame, index: DataFrame, geometry: _Geometry, fetch: int, timed: bool, anchored: bool,
-    probes: int | None, block: tuple[int, int], first_type: str,
-) -> DataFrame:
+def _search(queries: DataFrame, index: VectorIndex, fetch: int, probes: int | None) -> DataFrame:
     """Best ``fetch`` index vectors per query vector: home cluster, then whatever may still win."""
-    largest = index.groupBy("_anchor").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
-    within = largest[0] or 0
-    n_pivots = int(max(1, min(MAX_PIVOTS, -(-within // block[1]))))
-    if n_pivots == 1 and anchored:
-        n_pivots = int(max(1, min(MAX_PIVOTS, -(-(largest[1] or 0) // (8 * block[1])))))
-    pivot_rows = small_rows(index.orderBy("_i1", "_i2").select("_vec").limit(n_pivots), MAX_PIVOTS, "pivots")
-    pivots = np.array([r["_vec"] for r in pivot_rows], dtype=np.float64)
+    geometry, pivots, i = index.geometry, index.pivots, index.placed
+    search, schema = _block_search(geometry, fetch, index.timed, False, index.id_type)
     if not len(pivots):
-        search, schema = _block_search(geometry, fetch, timed, False, first_type)
         return queries.sparkSession.createDataFrame([], schema)
-
-    def place(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x, known = _matrix(pdf["_vec"]), (pdf["_anchor"] != "").to_numpy().astype(float)
-            far = geometry.to_pivots(x, known, pivots)
-            home = far.argmin(axis=1)
-            row = np.arange(len(x))
-            zero = ~x.any(axis=1)
-            base = geometry.base_angles(x, pivots)[row, home]
-            yield pdf[columns].assign(
-                _home=home.astype(np.int32),
-                # A zero vector has no direction: its cluster can never be ruled out.
-                _far=np.where(zero & (geometry.metric == "cosine"), np.pi, far[row, home]),
-                _base=np.where(zero, np.pi, base),
-                _share=geometry.base_share(x, known),
-            )
-
-    single = len(pivots) == 1 and not anchored
-    extra = "_home int, _far double, _base double, _share double"
-    index_schema = f"_i1 long, _i2 long, _vec array<double>, _anchor string, _time long, _first {first_type}, _m int, {extra}"
+    single = len(pivots) == 1 and not index.anchored
     if single:
-        q, i = queries.withColumn("_home", F.lit(0)), index.withColumn("_home", F.lit(0))
+        q = queries.withColumn("_home", F.lit(0))
     else:
-        q = stage(queries.mapInPandas(lambda b: place(b, ["_q1", "_q2", "_vec", "_anchor", "_time"]), f"{QUERY_COLS}, {extra}"), "placed")
-        i = stage(index.mapInPandas(lambda b: place(b, INDEX_COLS), index_schema), "placed")
-
-    search, schema = _block_search(geometry, fetch, timed, False, first_type)
-    home = _best(_block_join(q, i, ["_anchor", "_home"], block, search, schema), fetch)
+        q = stage(_place(queries, ["_q1", "_q2", "_vec", "_anchor", "_time"], geometry, pivots), "placed")
+    home = _best(_block_join(q, i, ["_anchor", "_home"], index.block, search, schema), fetch)
     if single:
         return home
     home = stage(home, "home")
 
-    meta = {r["_home"]: r for r in small_rows(
-        i.groupBy("_home").agg(F.max("_far").alias("far"), F.max("_base").alias("base"), F.max("_share").alias("share")), MAX_PIVOTS, "clusters"
-    )}
     n = len(pivots)
-    full = np.array([c in meta for c in range(n)])
-    radius = np.array([meta[c]["far"] if c in meta else 0.0 for c in range(n)])
-    base_radius = np.array([meta[c]["base"] if c in meta else 0.0 for c in range(n)])
-    share = np.array([meta[c]["share"] if c in meta else 0.0 for c in range(n)])
+    full = np.array([c in index.clusters for c in range(n)])
+    radius, base_radius, share = np.array([index.clusters.get(c, (0.0, 0.0, 0.0)) for c in range(n)]).T
     waiting = q.select("_q1", "_q2", "_vec", "_anchor", "_time", "_home").join(_to_beat(home, fetch), ["_q1", "_q2"], "left")
 
     def visits(batches: Iterator[pd.DataFrame], cross: bool) -> Iterator[pd.DataFrame]:
@@ -338,29 +413,28 @@ def _search(
             tau = pdf["_tau"].fillna(np.inf).to_numpy()[:, None]
             distance = geometry.to_pivots(x, known, pivots)
             go = np.broadcast_to(full, distance.shape).copy()
-            go[np.arange(len(x)), pdf["_home"].to_numpy()] = cross
+            go[np.arange(len(x)), pdf["_home"].to_numpy()] &= cross
+            open_ = go.copy()
             if probes is not None:
                 reach = np.argsort(np.where(full, distance, np.inf), axis=1).argsort(axis=1)
                 go &= reach < probes
             elif cross:
                 angle = np.maximum(geometry.base_angles(x, pivots) - base_radius, 0.0)
-                # Different anchors meet only in their base parts.
+                # Rows of different anchors meet only in their base parts.
                 bound = -geometry.base_share(x, known)[:, None] * share * np.maximum(np.cos(angle), 0.0)
                 go &= bound <= tau + SLACK
             else:
                 go &= geometry.best_cost(distance, radius) <= tau + SLACK
             if probes is None and geometry.metric == "cosine":
-                go |= full & ~x.any(axis=1)[:, None] & (cross | (np.arange(n) != pdf["_home"].to_numpy()[:, None]))
+                go |= open_ & ~x.any(axis=1)[:, None]
             r, c = np.nonzero(go)
             yield pdf[["_q1", "_q2", "_vec", "_anchor", "_time"]].iloc[r].assign(_home=c.astype(np.int32))
 
     hits = home
-    plans = ([False] if n > 1 else []) + ([True] if anchored and probes is None else [])
-    for cross in plans:
+    for cross in ([False] if n > 1 else []) + ([True] if index.anchored and probes is None else []):
         trip = stage(waiting.mapInPandas(lambda b, cross=cross: visits(b, cross), f"{QUERY_COLS}, _home int"), "visits")
-        search, schema = _block_search(geometry, fetch, timed, cross, first_type)
-        keys = ["_home"] if cross else ["_anchor", "_home"]
-        hits = hits.unionByName(_block_join(trip, i, keys, block, search, schema))
+        search, schema = _block_search(geometry, fetch, index.timed, cross, index.id_type)
+        hits = hits.unionByName(_block_join(trip, i, ["_home"] if cross else ["_anchor", "_home"], index.block, search, schema))
     return _best(hits, fetch)
 
 
