@@ -48,12 +48,12 @@ def csv_source(spark, sf):
     return notes.select("doc_id", "source", "lang", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 
-@query("parquet_sink", "S2", with_labeled(f"SELECT insurance_type, split, count(*) AS n, {s6('sum(billed_amount)', 'billed')} FROM labeled GROUP BY ALL"))
+@query("parquet_sink", "S2", with_labeled(f"SELECT insurance_type, split, count(*) AS n, {s6('avg(billed_amount)', 'mean_billed')} FROM labeled GROUP BY ALL"))
 def parquet_sink(spark, sf):
     path = src.scratch_path(spark, "predictions")
     src.write_parquet(labeled_claims(spark, sf).select("claim_id", "insurance_type", "split", "billed_amount"), path, ["split"])
     return src.read_parquet(spark, path).groupBy("insurance_type", F.col("split").cast("string").alias("split")).agg(
-        F.count("*").alias("n"), r6(F.sum("billed_amount"), "billed")
+        F.count("*").alias("n"), r6(F.avg("billed_amount"), "mean_billed")
     )
 
 

@@ -68,7 +68,7 @@ def calibrate_intercepts(
     score: str = "base_logodds",
     tolerance: float = 1e-4,
     max_steps: int = 200,
-    steps_per_pass: int = 5,
+    steps_per_pass: int | None = None,
 ) -> dict[float, float]:
     """Intercept per target rate, found by bisection on [-20, 20].
 
@@ -76,6 +76,8 @@ def calibrate_intercepts(
     could visit, for all targets together, so a calibration takes three or four
     column scans. ``scored`` is read once per pass: stage it when it is costly.
     """
+    if steps_per_pass is None:
+        steps_per_pass = max(2, (64 // len(targets)).bit_length() - 1 if len(targets) > 1 else 5)
     data = scored.select(score)
     state = {t: (-20.0, 20.0, 0) for t in targets}
     done: dict[float, float] = {}
