@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -78,8 +77,8 @@ def code_category(code) -> Column:
 
 
 def contains_any(text, phrases: Sequence[str]) -> Column:
-    lowered = F.lower(_col(text))
-    return reduce(lambda a, b: a | b, [lowered.contains(p) for p in phrases])
+    """Whether the lowered text holds any of the phrases: one scan for the whole list."""
+    return F.lower(_col(text)).rlike("|".join(rf"\Q{p}\E" for p in phrases))
 
 
 def word_count(text) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.constants import STOP_WORDS
@@ -28,27 +28,28 @@ def bigrams(words: Column) -> Column:
     return F.when(n > 0, pairs).otherwise(F.array().cast("array<string>"))
 
 
-def terms(text, ngrams: tuple[int, int] = (1, 1), stop_words: Sequence[str] = STOP_WORDS) -> Column:
-    """Uni- and bigrams of a text; bigrams are formed after stop words are gone."""
-    words = tokens(text, stop_words)
+def with_terms(
+    df: DataFrame, text: str, ngrams: tuple[int, int] = (1, 1), stop_words: Sequence[str] = STOP_WORDS, out: str = "terms"
+) -> DataFrame:
+    """Add the uni- and/or bigrams of a text; bigrams are formed after stop words are gone.
+
+    The token list is a column of its own, so a text is tokenised once.
+    """
+    if ngrams not in ((1, 1), (1, 2), (2, 2)):
+        raise ValueError(f"unsupported n-gram range {ngrams}")
     if ngrams == (1, 1):
-        return words
-    if ngrams == (1, 2):
-        return F.concat(words, bigrams(words))
-    if ngrams == (2, 2):
-        return bigrams(words)
-    raise ValueError(f"unsupported n-gram range {ngrams}")
+        return df.withColumn(out, tokens(text, stop_words))
+    words = F.col("_words")
+    found = bigrams(words) if ngrams == (2, 2) else F.concat(words, bigrams(words))
+    return df.withColumn("_words", tokens(text, stop_words)).withColumn(out, found).drop("_words")
 
 
 def flagged(found: Column) -> Column:
     """Sorted terms as (term, new): ``new`` is 1 on a term's first occurrence in the row."""
-    ordered = F.array_sort(found)
-    return F.transform(
-        ordered,
-        lambda t, i: F.struct(
-            t.alias("term"),
-            F.when((i > 0) & (F.get(ordered, i - 1) == t), 0).otherwise(1).alias("new"),
-        ),
+    ordered = F.sort_array(found)
+    before = F.slice(F.concat(F.array(F.lit(None).cast("string")), ordered), 1, F.size(ordered))
+    return F.zip_with(
+        ordered, before, lambda t, p: F.struct(t.alias("term"), F.when(p.eqNullSafe(t), 0).otherwise(1).alias("new"))
     )
 
 

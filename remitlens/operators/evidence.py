@@ -64,8 +64,8 @@ def lexical_vectors(cases: DataFrame, stop_words: Sequence[str] = STOP_WORDS) ->
 
 
 def _sparse_dot(q: Column, c: Column) -> Column:
-    table = F.map_from_entries(q)
-    dot = F.aggregate(c, F.lit(0.0), lambda acc, s: acc + F.coalesce(F.try_element_at(table, s["term"]), F.lit(0.0)) * s["w"])
+    """Dot product of a term -> weight map and a (term, weight) list."""
+    dot = F.aggregate(c, F.lit(0.0), lambda acc, s: acc + F.coalesce(F.try_element_at(q, s["term"]), F.lit(0.0)) * s["w"])
     return F.when(q.isNotNull() & c.isNotNull(), dot / F.lit((1.0 + SMALL) * (1.0 + SMALL))).otherwise(0.0)
 
 
@@ -81,10 +81,13 @@ def _dense_dot(q: Column, c: Column) -> Column:
     return F.coalesce(dot, F.lit(0.0))
 
 
-def best_matches(cases: DataFrame, vectors: DataFrame, similarity: Callable[[Column, Column], Column]) -> DataFrame:
+def best_matches(
+    cases: DataFrame, vectors: DataFrame, similarity: Callable[[Column, Column], Column], asked: Callable[[Column], Column] = lambda v: v
+) -> DataFrame:
     """Best chunk per case and side (``submitted``, ``record``): (case_id, side, chunk, score).
 
-    The first of equal chunks wins. A side without chunks has no row here.
+    ``asked`` reshapes a requirement's vector once, before the comparison with
+    every chunk. The first of equal chunks wins. A side without chunks has no row here.
     """
     sides = F.array(
         F.struct(F.lit("submitted").alias("side"), F.col("submitted_chunks").alias("chunks")),
@@ -92,7 +95,7 @@ def best_matches(cases: DataFrame, vectors: DataFrame, similarity: Callable[[Col
     )
     listed = cases.select("case_id", text_key("requirement_text").alias("q_key"), F.inline(sides))
     pairs = listed.select("case_id", "side", "q_key", F.posexplode("chunks").alias("pos", "chunk")).withColumn("c_key", text_key("chunk"))
-    q = vectors.select(F.col("text_key").alias("q_key"), F.col("vec").alias("q_vec"))
+    q = vectors.select(F.col("text_key").alias("q_key"), asked(F.col("vec")).alias("q_vec"))
     c = vectors.select(F.col("text_key").alias("c_key"), F.col("vec").alias("c_vec"))
     scored = pairs.join(c, "c_key", "left").join(q, "q_key", "left").select(
         "case_id", "side", "pos", "chunk", F.round(similarity(F.col("q_vec"), F.col("c_vec")), 9).alias("score")
@@ -127,7 +130,7 @@ def classify_cases(cases: DataFrame, matches: DataFrame, threshold: float) -> Da
 
 
 def classify_lexical(cases: DataFrame, threshold: float = LEXICAL_THRESHOLD, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    return classify_cases(cases, best_matches(cases, lexical_vectors(cases, stop_words), _sparse_dot), threshold)
+    return classify_cases(cases, best_matches(cases, lexical_vectors(cases, stop_words), _sparse_dot, F.map_from_entries), threshold)
 
 
 def classify_dense(cases: DataFrame, threshold: float = DENSE_THRESHOLD, encode=None) -> DataFrame:

@@ -35,8 +35,12 @@ def l2_normalize(vec) -> Column:
     """Vector divided by its length; a zero vector stays zero."""
     v = F.col(vec) if isinstance(vec, str) else vec
     v = F.transform(v, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(v, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+    return F.aggregate(
+        v,
+        F.lit(0.0),
+        lambda acc, x: acc + x * x,
+        lambda total: F.transform(v, lambda x: x / F.when(total == 0, F.lit(1.0)).otherwise(F.sqrt(total))),
+    )
 
 
 def _keys(*cols: Column) -> tuple[Column, Column]:

@@ -196,7 +196,11 @@ def smote(
     synthetic = made.select(
         F.col("_new").alias(id_col),
         F.col(label),
-        F.zip_with(vec_col, "_to", lambda x, y: x + F.col("_u") * (y - x)).alias(vec_col),
+        F.zip_with(
+            vec_col,
+            F.zip_with(F.zip_with(vec_col, "_to", lambda x, y: y - x), F.array_repeat("_u", F.size(vec_col)), lambda gap, u: gap * u),
+            lambda x, step: x + step,
+        ).alias(vec_col),
         F.lit(True).alias("is_synthetic"),
     )
     return real.unionByName(synthetic)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from remitlens.constants import STOP_WORDS
-from remitlens.functions.text import flagged, terms, text_key, tokens
+from remitlens.functions.text import flagged, text_key, tokens, with_terms
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -32,7 +32,7 @@ def term_table(
     ``max_features`` the most frequent terms stay, alphabetical on ties.
     """
     n = df.count()
-    cells = df.select(F.inline(flagged(terms(text, ngrams, stop_words))))
+    cells = with_terms(df.select(text), text, ngrams, stop_words).select(F.inline(flagged(F.col("terms"))))
     table = (
         cells.groupBy("term")
         .agg(F.sum("new").alias("doc_freq"), F.count("*").alias("total"))
@@ -58,7 +58,8 @@ def tfidf_weights(
     """
     vocab = vocabulary.select("term", "idf")
     counts = (
-        df.select(id_col, F.explode(terms(text, ngrams, stop_words)).alias("term"))
+        with_terms(df.select(id_col, text), text, ngrams, stop_words)
+        .select(id_col, F.explode("terms").alias("term"))
         .join(F.broadcast(vocab) if bounded else vocab, "term")
         .groupBy(id_col, "term")
         .agg((F.count("*") * F.first("idf")).alias("w"))
