@@ -173,7 +173,7 @@ def health_flags(metrics: DataFrame) -> DataFrame:
 
 def status_confusion(df: DataFrame, gold: str, predicted: str, classes: Sequence[str]) -> DataFrame:
     """Gold x predicted counts, one row per gold class that occurs."""
-    return df.groupBy(gold).pivot(predicted, list(classes)).agg(F.count("*")).na.fill(0)
+    return df.groupBy(gold).pivot(predicted, list(classes)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 # --- paired bootstrap -----------------------------------------------------------
