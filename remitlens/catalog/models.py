@@ -1 +1,213 @@
-"""Queries to come."""
+"""Models, attribution, cross-validation and sweeps (M, X3, L10). Rows-only: fitting has no SQL twin.
+
+Tree counts here are smaller than the operators' defaults so that the whole set
+runs in minutes; the rows are whole tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import functions as F
+
+from remitlens.catalog.claims import SEED, labeled_claims, table, with_labeled
+from remitlens.catalog.features import _ENC, _FEATS, claim_neighbours, retrieval_features, train_encoder
+from remitlens.catalog.registry import query, r6
+from remitlens.constants import NOISE_LEVELS
+from remitlens.operators import attribution as at
+from remitlens.operators import evaluate, models, rules, sampling
+from remitlens.operators import features as ft
+from remitlens.operators import retrieval as rt
+from remitlens.operators import text as tx
+from remitlens.operators import support as sp
+from remitlens.session import stage
+from remitlens.sources.tables import scratch_path, write_parquet
+
+TREES = 20
+
+
+_structured: dict = {}
+
+
+def structured(spark, sf):
+    """Training and test claims with their structured feature vector (staged once per session)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _structured:
+        _, embedded = train_encoder(spark, sf)
+        rows = embedded.select("claim_id", "denied", "split", "true_denial_prob", array_to_vector("embedding").alias("structured"))
+        _structured[key] = stage(rows, "structured")
+    df = _structured[key]
+    return df.where("split = 'train'"), df.where("split = 'test'")
+
+
+def _with_retrieval(spark, sf):
+    out = []
+    for df, split in zip(structured(spark, sf), ("train", "test")):
+        r = retrieval_features(spark, sf, split).select("claim_id", array_to_vector(F.array(*rt.RETRIEVAL_FEATURES)).alias("retrieval"))
+        out.append(stage(df.join(r, "claim_id"), "retrieval"))
+    return out
+
+
+def _record(rows, model: str, phase: str):
+    return evaluate.evaluate(rows.withColumn("phase", F.lit(phase)).withColumn("model", F.lit(model)), "denied", "prob")
+
+
+@query("logistic_elimination", "M1 M2 X4")
+def logistic_elimination(spark, sf):
+    """Oversampled training claims, features eliminated down to 15, test metrics."""
+    train, test = structured(spark, sf)
+    n = len(train_encoder(spark, sf)[0].feature_names)
+    arrays = train.select("claim_id", "denied", vector_to_array("structured").alias("x"))
+    balanced = stage(sampling.smote(arrays, "denied", "claim_id", "x", seed=SEED).select("denied", array_to_vector("x").alias("structured")), "balanced")
+    kept, model = models.recursive_elimination(balanced, n, 15, "structured")
+    return _record(models.score(model, test), f"logreg-{len(kept)}", "phase1")
+
+
+@query("decision_tree", "M3")
+def decision_tree(spark, sf):
+    train, test = structured(spark, sf)
+    return _record(models.score(models.decision_tree("structured").fit(train), test), "decision-tree", "phase1")
+
+
+@query("gradient_boosting", "M4")
+def gradient_boosting(spark, sf):
+    train, test = structured(spark, sf)
+    return _record(models.score(models.gradient_boosting("structured", trees=TREES).fit(train), test), "gradient-boosting", "phase2")
+
+
+@query("random_forest", "M5")
+def random_forest(spark, sf):
+    train, test = structured(spark, sf)
+    return _record(models.score(models.random_forest("structured", trees=TREES).fit(train), test), "random-forest", "phase2")
+
+
+@query("weighted_boosting", "M6")
+def weighted_boosting(spark, sf):
+    train, test = structured(spark, sf)
+    learner = models.regularised_boosting("structured", trees=TREES, depth=4, rate=0.05, weight="weight")
+    return _record(models.score(learner.fit(models.class_weight(train)), test), "weighted-boosting", "phase4")
+
+
+@query("feature_ladder", "M6 M7 F4")
+def feature_ladder(spark, sf):
+    """The same learner on structured features, with and without retrieval, and the lift."""
+    train, test = _with_retrieval(spark, sf)
+    rows = models.ladder(
+        train, test, {"structured": ["structured"], "structured+retrieval": ["structured", "retrieval"]},
+        lambda x: models.regularised_boosting(x, trees=TREES),
+    )
+    return models.with_lifts(evaluate.evaluate(stage(rows, "ladder"), "denied", "prob"), "structured")
+
+
+@query("note_ladder", "M8 T6 T7")
+def note_ladder(spark, sf):
+    """Note quality from document facts, from the text, from both, and from blanked notes."""
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(
+        "doc_id", "text", F.col("quality").alias("denied"),
+        array_to_vector(F.array(F.log1p("n_chars"), *[(F.col("lang") == x).cast("double") for x in ("en", "de", "fr", "es")])).alias("structured"),
+    )
+    docs = stage(sampling.stratified_folds(docs, "denied", "doc_id", folds=4, seed=SEED), "notes")
+    encoder = tx.text_encoder("tfidf").fit(docs.where("fold > 0"), "text")
+    noted = encoder.transform(docs, "doc_id", "text", "note")
+    blank = encoder.transform(tx.blank_notes(docs, "text"), "doc_id", "text", "blank").select("doc_id", "blank")
+    full = stage(noted.join(blank, "doc_id"), "notes")
+    rows = models.ladder(
+        full.where("fold > 0"), full.where("fold = 0"),
+        {"structured": ["structured"], "text": ["note"], "structured+text": ["structured", "note"], "structured+blank": ["structured", "blank"]},
+        lambda x: models.regularised_boosting(x, trees=10), id_col="doc_id", phase="phase3",
+    )
+    return models.with_lifts(evaluate.evaluate(stage(rows, "ladder"), "denied", "prob"), "structured")
+
+
+_W = [round(0.1 * (i + 1), 1) for i in range(len(_FEATS))]
+
+
+@query("linear_attribution", "M9 F7", with_labeled(
+    "SELECT feature, (round(avg(abs(w * (x - m))), 6) + 0.0::DOUBLE) AS mean_abs FROM (SELECT feature, x, w, avg(x) OVER (PARTITION BY feature) AS m FROM (SELECT unnest(["
+    + ", ".join(f"'f{i:02d}'" for i in range(len(_FEATS))) + "]) AS feature, unnest(v) AS x, unnest([" + ", ".join(f"{w}::DOUBLE" for w in _W) + "]) AS w FROM enc WHERE split = 'test')) GROUP BY feature", _ENC))
+def linear_attribution(spark, sf):
+    """Attribution of a linear score with given weights over the test claims."""
+    _, test = structured(spark, sf)
+    names = [f"f{i:02d}" for i in range(len(_W))]
+    wide = test.select("claim_id", vector_to_array("structured").alias("v")).select("claim_id", *[F.col("v")[i].alias(n) for i, n in enumerate(names)])
+    means = wide.agg(*[F.avg(n).alias(n) for n in names]).first()
+    long = at.linear_attribution(wide, "claim_id", names, _W, [means[n] for n in names])
+    return ft.rank_importance(long, top=len(names)).select("feature", r6("mean_abs"))
+
+
+def _boosted(spark, sf):
+    train, test = structured(spark, sf)
+    return models.gradient_boosting("structured", trees=TREES).fit(train), test, train_encoder(spark, sf)[0].feature_names
+
+
+@query("tree_attribution", "M9 F7")
+def tree_attribution(spark, sf):
+    """Mean absolute Shapley value per feature over all test claims."""
+    model, test, names = _boosted(spark, sf)
+    wide = at.tree_attribution(test, "claim_id", at.tree_leaves(spark, model), names, "structured")
+    return ft.rank_importance(at.long_attribution(wide, "claim_id", names))
+
+
+@query("attribution_table", "M10")
+def attribution_table(spark, sf):
+    """Per-claim attributions with label and probability, written and read back."""
+    model, test, names = _boosted(spark, sf)
+    scored = models.score(model, test)
+    wide = at.tree_attribution(scored, "claim_id", at.tree_leaves(spark, model), names, "structured", keep=["denied", "prob"])
+    path = scratch_path(spark, "attributions")
+    write_parquet(wide, path)
+    return spark.read.parquet(path)
+
+
+@query("batch_scoring", "M11 S8 K1")
+def batch_scoring(spark, sf):
+    """A saved and reloaded model scores every test claim; decisions follow from its probability."""
+    from pyspark.ml.classification import GBTClassificationModel
+
+    model, test, _ = _boosted(spark, sf)
+    path = scratch_path(spark, "model")
+    model.save(path)
+    scored = models.score(GBTClassificationModel.load(path), test)
+    return sp.decision_support(scored, claim_neighbours(spark, sf, "test")).select("claim_id", "denial_probability", "risk_band", "suggested_action", "rationale")
+
+
+@query("cross_validated_logistic", "X3 E14 M1")
+def cross_validated_logistic(spark, sf):
+    train, _ = structured(spark, sf)
+    folded = stage(sampling.stratified_folds(train, "denied", "claim_id", seed=SEED), "folds")
+    n = folded.count()
+    per_fold = models.cross_validate(folded, lambda: models.logistic_regression(n * 4 // 5, "structured", max_iter=100), name="logreg")
+    return models.cross_validated_score(per_fold)
+
+
+@query("noise_sweep", "L10")
+def noise_sweep(spark, sf):
+    """Retrain under rising label noise; features are computed once and shared by all levels.
+
+    As labels change, so do neighbour outcomes: the retrieval result is kept and
+    its denied flags are swapped.
+    """
+    train, test = structured(spark, sf)
+    noisy = stage(rules.noise_levels_table(labeled_claims(spark, sf), NOISE_LEVELS, seed=SEED).select("claim_id", "label_noise", "denied"), "noise")
+    hits = {s: stage(claim_neighbours(spark, sf, s).select("query_id", "rank", "neighbour_id", "similarity", "billed_amount"), "hits") for s in ("train", "test")}
+    claims = stage(labeled_claims(spark, sf).select("claim_id", "billed_amount", "split"), "amounts")
+    out = None
+    for level in NOISE_LEVELS:
+        y = noisy.where(F.col("label_noise") == level).select("claim_id", "denied")
+        sets = []
+        for df, split in ((train, "train"), (test, "test")):
+            seen = hits[split].join(y.withColumnRenamed("claim_id", "neighbour_id"), "neighbour_id")
+            feats = rt.neighbour_features(claims.where(F.col("split") == split), seen)
+            vec = feats.select("claim_id", array_to_vector(F.array(*rt.RETRIEVAL_FEATURES)).alias("retrieval"))
+            sets.append(stage(df.drop("denied").join(y, "claim_id").join(vec, "claim_id"), "noisy"))
+        rows = models.ladder(
+            *sets, {"structured": ["structured"], "augmented": ["structured", "retrieval"]}, lambda x: models.regularised_boosting(x, trees=5),
+            phase=str(level), keep=["true_denial_prob"],
+        )
+        out = rows if out is None else out.unionByName(rows)
+    rows = stage(out, "sweep")
+    ceiling = rows.where("model = 'structured'").select("phase", F.lit("ceiling").alias("model"), "denied", F.col("true_denial_prob").alias("prob"))
+    result = evaluate.evaluate(rows.select("phase", "model", "denied", "prob").unionByName(ceiling), "denied", "prob")
+    return result.groupBy(F.col("phase").cast("double").alias("label_noise")).agg(
+        *[F.max(F.when(F.col("model") == m, F.col("auroc"))).alias(n) for m, n in (("structured", "auroc_structured"), ("augmented", "auroc_augmented"), ("ceiling", "oracle_ceiling"))],
+        F.max(F.when(F.col("model") == "augmented", F.col("f1"))).alias("f1_augmented"),
+    )
