@@ -13,7 +13,7 @@ from remitlens.constants import FILING_WINDOW_DAYS, PREVALENCE_TARGET
 from remitlens.functions.scalar import lookup
 from remitlens.operators import rules
 from remitlens.operators.sampling import TemporalCut, fit_temporal_cut
-from remitlens.session import stage
+from remitlens.session import spread, stage
 
 SEGMENT_PAYER = {
     "AUTOMOBILE": "medicare",
@@ -30,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread over the cores for text work."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def fee_schedule(lines: DataFrame) -> DataFrame:
     """Usual charge per procedure: a mergeable mean, no per-group collection."""
     return lines.groupBy("cpt_code").agg(F.round(F.avg("billed_amount"), 2).alias("_procedure_base_cost"))
@@ -37,8 +42,10 @@ def fee_schedule(lines: DataFrame) -> DataFrame:
 
 def claims_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One claim per order line; joins are left to Catalyst's size-based choice."""
-    line = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"
+    line = spread(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate"
+        )
     )
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from remitlens.catalog.claims import table
+from remitlens.catalog.claims import notes, table
 from remitlens.catalog.registry import query, r6, s6
 from remitlens.catalog.text import DIM, tokens_sql
 from remitlens.constants import ACTION_BY_STATUS, DENSE_THRESHOLD, LEXICAL_THRESHOLD, POLICIES
@@ -17,7 +17,7 @@ def evidence_cases(spark, sf):
     """A case per document: its sentences as the record, the first as the packet, a benchmark item as the requirement."""
     items = table(spark, sf, "benchmark")
     n = items.count()
-    docs = table(spark, sf, "documents").select("doc_id", sentences("text").alias("full_record_chunks"))
+    docs = notes(spark, sf).select("doc_id", sentences("text").alias("full_record_chunks"))
     labels = table(spark, sf, "labels")
     gold = F.when(F.col("toxic") == 1, "unsupported").when(F.col("quality") == 1, "complete").otherwise("omitted")
     return (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from remitlens.catalog.claims import CLAIMS_SQL, SEED, labeled_claims, scored_claims, table, with_claims, with_labeled
+from remitlens.catalog.claims import CLAIMS_SQL, SEED, labeled_claims, notes, scored_claims, table, with_claims, with_labeled
 from remitlens.catalog.registry import query, r6, s6
 from remitlens.constants import FILING_WINDOW_DAYS, INSURANCE_TYPES, MEDICAL_NECESSITY_PHRASES, PAYER_RESIDUAL, PRIOR_AUTH_PHRASES
 from remitlens.functions import scalar as fn
@@ -44,8 +44,8 @@ def csv_source(spark, sf):
     docs = table(spark, sf, "documents")
     path = src.scratch_path(spark, "notes-csv")
     src.write_csv(docs.select("doc_id", F.concat(F.lit("  "), "source", F.lit(" ")).alias("source"), "lang", "text"), path)
-    notes = src.read_csv(spark, path, "doc_id bigint, source string, lang string, text string", trim=["source"])
-    return notes.select("doc_id", "source", "lang", F.length("text").alias("n"), F.md5("text").alias("digest"))
+    back = src.read_csv(spark, path, "doc_id bigint, source string, lang string, text string", trim=["source"])
+    return back.select("doc_id", "source", "lang", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 
 @query("parquet_sink", "S2", with_labeled(f"SELECT insurance_type, split, count(*) AS n, {s6('avg(billed_amount)', 'mean_billed')} FROM labeled GROUP BY ALL"))
@@ -60,7 +60,7 @@ def parquet_sink(spark, sf):
 @query("csv_sink", "S3", f"SELECT doc_id, {signals_sql('text')} FROM documents")
 def csv_sink(spark, sf):
     path = src.scratch_path(spark, "signals-csv")
-    src.write_csv(table(spark, sf, "documents").select("doc_id", *fn.note_signals("text")), path)
+    src.write_csv(notes(spark, sf).select("doc_id", *fn.note_signals("text")), path)
     return src.read_csv(
         spark, path,
         "doc_id bigint, has_medical_necessity int, has_prior_auth_mention int, note_length int, has_diagnosis_mention int, has_procedure_mention int",
@@ -229,16 +229,16 @@ SOURCE_CATEGORY = {f"src{i}": ["Cardiovascular", "Endocrine", "General"][i % 3]
   SELECT doc_id, CASE source {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in SOURCE_CATEGORY.items())} END AS diagnosis_category, md5(coalesce(transcription, description)) AS digest
   FROM n WHERE source IN ({', '.join(f"'{k}'" for k in SOURCE_CATEGORY)}) AND coalesce(transcription, description) IS NOT NULL""")
 def note_filter(spark, sf):
-    notes = table(spark, sf, "documents").select(
+    rows = table(spark, sf, "documents").select(
         "doc_id", "source", F.when(F.col("doc_id") % 3 != 0, F.col("text")).alias("transcription"),
         F.when(F.col("doc_id") % 6 != 0, F.col("lang")).alias("description"),
     )
-    return src.filter_notes(notes, SOURCE_CATEGORY, "source").select("doc_id", "diagnosis_category", F.md5("discharge_note").alias("digest"))
+    return src.filter_notes(rows, SOURCE_CATEGORY, "source").select("doc_id", "diagnosis_category", F.md5("discharge_note").alias("digest"))
 
 
 @query("note_signals", "P7", f"SELECT doc_id, {signals_sql('text')} FROM documents")
 def note_signals(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", *fn.note_signals("text"))
+    return notes(spark, sf).select("doc_id", *fn.note_signals("text"))
 
 
 @query("code_pair_text", "P8", with_claims("SELECT concat_ws(' ', cpt_code, icd10_code) AS claim_text, count(*) AS n FROM claims GROUP BY ALL"))
@@ -306,7 +306,7 @@ def value_counts(spark, sf):
 @query("describe_signals", "P18", f"""WITH s AS (SELECT {signals_sql('text')} FROM documents)
   SELECT count(*) AS n, {s6('avg(note_length)', 'mean')}, {s6('stddev_samp(note_length)', 'std')}, CAST(min(note_length) AS INT) AS low, CAST(max(note_length) AS INT) AS high FROM s""")
 def describe_signals(spark, sf):
-    s = table(spark, sf, "documents").select(*fn.note_signals("text"))
+    s = notes(spark, sf).select(*fn.note_signals("text"))
     return s.agg(
         F.count("*").alias("n"), r6(F.avg("note_length"), "mean"), r6(F.stddev_samp("note_length"), "std"),
         F.min("note_length").alias("low"), F.max("note_length").alias("high"),

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from remitlens.catalog.claims import labeled_claims, scored_claims, table, with_claims
+from remitlens.catalog.claims import notes, scored_claims, with_claims
 from remitlens.catalog.registry import query, r6, s6
 from remitlens.constants import STOP_WORDS
 from remitlens.functions.scalar import code_pair_text
-from remitlens.functions.text import sentences
 from remitlens.operators import text as tx
 
 DIM = 256
@@ -42,12 +41,12 @@ _DOCS = "WITH " + terms_cte("documents", "doc_id", "text") + ", " + vocab_cte("d
 
 @query("term_table", "T1 T2", _DOCS + f" SELECT term, doc_freq, total, {s6('idf', 'idf')} FROM voc")
 def term_table(spark, sf):
-    return tx.term_table(table(spark, sf, "documents"), "text").select("term", "doc_freq", "total", r6("idf"))
+    return tx.term_table(notes(spark, sf), "text").select("term", "doc_freq", "total", r6("idf"))
 
 
 @query("tfidf_weights", "T1 T2", _DOCS + ", " + weights_select("doc_id"))
 def tfidf_weights(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = notes(spark, sf)
     vocab = tx.term_table(docs, "text")
     return tx.tfidf_weights(docs, "doc_id", "text", vocab, bounded=True).select("doc_id", "term", r6("weight"))
 
@@ -57,7 +56,7 @@ def tfidf_weights(spark, sf):
     + terms_cte("(SELECT doc_id, text FROM documents WHERE doc_id % 4 = 3)", "doc_id", "text") + ", " + weights_select("doc_id"))
 def tfidf_unseen_notes(spark, sf):
     """Vocabulary fitted on the training notes, weights of the held-out notes."""
-    docs = table(spark, sf, "documents")
+    docs = notes(spark, sf)
     vocab = tx.term_table(docs.where("doc_id % 4 <> 3"), "text")
     return tx.tfidf_weights(docs.where("doc_id % 4 = 3"), "doc_id", "text", vocab, bounded=True).select("doc_id", "term", r6("weight"))
 
@@ -80,7 +79,7 @@ def code_pair_tfidf(spark, sf):
   b AS (SELECT doc_id, CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % {DIM} AS INT) AS slot, count(*)::DOUBLE AS n FROM tok GROUP BY ALL)
   SELECT doc_id, slot, (round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) + 0.0::DOUBLE) AS x FROM b""")
 def hashed_note_vectors(spark, sf):
-    v = tx.hashed_vectors(table(spark, sf, "documents"), "text", DIM)
+    v = tx.hashed_vectors(notes(spark, sf), "text", DIM)
     return v.select("doc_id", F.posexplode("vector").alias("slot", "x")).where("x <> 0").select("doc_id", "slot", r6("x"))
 
 
@@ -93,25 +92,25 @@ def _length_encoder():
 
 @query("injected_encoder", "T4", "SELECT doc_id, length(text)::DOUBLE AS chars, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS blanks FROM documents")
 def injected_encoder(spark, sf):
-    v = tx.encode_notes(table(spark, sf, "documents"), "doc_id", "text", _length_encoder)
+    v = tx.encode_notes(notes(spark, sf), "doc_id", "text", _length_encoder)
     return v.select("doc_id", F.col("vector")[0].alias("chars"), F.col("vector")[1].alias("blanks"))
 
 
 @query("encode_distinct_notes", "T5", "SELECT doc_id, length(text)::DOUBLE AS chars, md5(text) AS text_key FROM documents")
 def encode_distinct_notes(spark, sf):
     encode = lambda t: tx.encode_notes(t, "text_key", "text", _length_encoder)
-    return tx.encode_distinct(table(spark, sf, "documents"), "text", encode).select("doc_id", F.col("vector")[0].alias("chars"), "text_key")
+    return tx.encode_distinct(notes(spark, sf), "text", encode).select("doc_id", F.col("vector")[0].alias("chars"), "text_key")
 
 
 @query("text_reuse", "T5", "SELECT count(text) AS n_texts, count(DISTINCT text) AS n_distinct, count(text) - count(DISTINCT text) AS n_reused FROM documents")
 def text_reuse(spark, sf):
-    return tx.text_reuse(table(spark, sf, "documents"), "text")
+    return tx.text_reuse(notes(spark, sf), "text")
 
 
 @query("blank_note_vectors", "T6 T7", "SELECT doc_id, 0::BIGINT AS n_terms FROM documents")
 def blank_note_vectors(spark, sf):
     """Blank notes through the fitted encoder chosen by name: no term survives."""
-    docs = table(spark, sf, "documents")
+    docs = notes(spark, sf)
     encoder = tx.text_encoder("tfidf").fit(docs, "text")
     blank = encoder.transform(tx.blank_notes(docs, "text"), "doc_id", "text")
     from pyspark.ml.functions import vector_to_array

@@ -66,3 +66,14 @@ def small_rows(df: DataFrame, limit: int, what: str) -> list:
 
 def shuffle_width(spark: SparkSession, cap: int = 2000) -> int:
     return max(1, min(cap, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a scan of very few file splits before CPU-heavy work.
+
+    Only for plain scans (their partition count is known without running
+    anything). A table of many files already has more splits than cores and
+    passes through unchanged, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
