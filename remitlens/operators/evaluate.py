@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from remitlens.constants import COST_FN, COST_FP
 from remitlens.functions.hashing import PRIME, residue_key
 from remitlens.functions.scalar import predict_at
-from remitlens.operators.ranking import average_ranks, exact_quantiles, range_index, running_totals, with_range
+from remitlens.operators.ranking import average_ranks, exact_quantiles, range_index, range_plan, running_totals, with_range
 from remitlens.operators.sampling import POISSON_CDF, replicate_multipliers
 from remitlens.session import small_rows, stage
 
@@ -188,22 +188,20 @@ def _replicate_weights(keys: np.ndarray, first: int, last: int, seed: int) -> np
     return np.searchsorted(np.asarray(POISSON_CDF), h5 / float(PRIME), side="right").astype(np.int64)
 
 
-def _partial_areas(df: DataFrame, score: str, replicates: int, seed: int, group_rows: int, chunk: int = 64) -> DataFrame:
+def _partial_areas(df: DataFrame, score: str, replicates: int, seed: int, group_rows: int, cells: int = 4_000_000) -> DataFrame:
     """Weighted AUROC of every replicate, exact: (replicate, auroc).
 
     Rows are cut into score ranges; a task orders one range and emits, per
     replicate, its class weights and the wins inside the range. A range that
     holds a single repeated score has no inner order, so it is salted.
     """
-    n = df.count()
-    parts = max(1, min(20_000, -(-n // group_rows)))
-    probs = [i / parts for i in range(1, parts)]
-    raw = df.approxQuantile(score, probs, 1.0 / (4 * parts)) if probs else []
+    parts, slots = range_plan(df.count(), group_rows)
+    raw = df.approxQuantile(score, [i / parts for i in range(parts + 1)], 1.0 / (4 * parts)) if parts > 1 else []
     hot = {v for v in raw if raw.count(v) > 1}
     # A repeated quantile is a hot score: close a range right above it.
     bounds = sorted(set(raw) | {float(np.nextafter(v, np.inf)) for v in hot})
-    ranged = with_range(df.select("_k", "_y", F.col(score).alias("_s")), "_s", bounds)
-    salts = F.when(F.col("_s").isin(sorted(hot)), F.pmod(F.col("_k"), F.lit(parts))).otherwise(F.lit(0)) if hot else F.lit(0)
+    ranged = with_range(df.select("_k", "_y", F.col(score).alias("_s")), "_s", bounds, slots)
+    salts = F.when(F.col("_s").isin(sorted(hot)), F.pmod(F.col("_k"), F.lit(parts * slots))).otherwise(F.lit(0)) if hot else F.lit(0)
     keyed = ranged.withColumn("_salt", salts.cast("long"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -211,6 +209,7 @@ def _partial_areas(df: DataFrame, score: str, replicates: int, seed: int, group_
         keys, y, s = pdf["_k"].to_numpy(), pdf["_y"].to_numpy() == 1, pdf["_s"].to_numpy()
         starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         out = []
+        chunk = max(1, cells // len(pdf))  # bounds the weight matrix whatever the range holds
         for a in range(0, replicates, chunk):
             b = min(a + chunk, replicates)
             w = _replicate_weights(keys, a, b, seed)

@@ -17,23 +17,43 @@ from pyspark.sql import functions as F
 from remitlens.functions.hashing import KEY_SPAN, hash_key
 from remitlens.session import shuffle_width, small_rows, stage
 
-MAX_OFFSETS = 200_000
+MAX_OFFSETS = 500_000
+MAX_QUANTILES = 1000
+ROWS_PER_RANGE = 1_000_000
 
 
 def value_bounds(df: DataFrame, value: str, parts: int) -> list[float]:
-    """Inner edges of about ``parts`` equally filled ranges of a double column."""
+    """Edges of about ``parts`` equally filled ranges of a double column, its extremes included."""
     if parts <= 1:
         return []
-    probs = [i / parts for i in range(1, parts)]
+    probs = [i / parts for i in range(parts + 1)]
     return sorted(set(df.approxQuantile(value, probs, 1.0 / (4 * parts))))
 
 
-def with_range(df: DataFrame, value: str, bounds: Sequence[float], out: str = "_range") -> DataFrame:
+def with_range(df: DataFrame, value: str, bounds: Sequence[float], slots: int = 1, out: str = "_range") -> DataFrame:
+    """Add the number of a value's range: ordered like the values, equal for equal values.
+
+    ``slots`` cuts every range into that many equal pieces, for tables that need
+    far more ranges than quantiles can be had cheaply.
+    """
     if not bounds:
         return df.withColumn(out, F.lit(0))
     splits = [float("-inf"), *bounds, float("inf")]
     ranged = Bucketizer(splits=splits, inputCol=value, outputCol=out, handleInvalid="keep").transform(df)
-    return ranged.withColumn(out, F.col(out).cast("int"))
+    number = F.col(out).cast("int")
+    if slots > 1:
+        edges = F.array(*[F.lit(b) for b in bounds])
+        low, high = F.get(edges, number - 1), F.get(edges, number)
+        piece = F.least(F.floor((F.col(value) - low) / (high - low) * slots), F.lit(slots - 1)).cast("int")
+        number = number * slots + F.coalesce(piece, F.lit(0))
+    return ranged.withColumn(out, number)
+
+
+def range_plan(rows: int, per_range: int, at_least: int = 1) -> tuple[int, int]:
+    """(quantile ranges, slots per range) that put about ``per_range`` rows into a range."""
+    wanted = max(at_least, -(-rows // per_range))
+    parts = min(wanted, MAX_QUANTILES)
+    return parts, min(-(-wanted // parts), MAX_OFFSETS // MAX_QUANTILES)
 
 
 def _offsets(ranged: DataFrame, group: Sequence[str], sums: Sequence[str]) -> DataFrame:
@@ -81,9 +101,10 @@ def running_totals(
     ``df`` holds one row per (group, value); reduce ties with a ``groupBy`` first.
     ``value`` is a non-null double.
     """
-    parts = parts or shuffle_width(df.sparkSession)
     df = df if staged else stage(df, "running")
-    ranged = with_range(df, value, value_bounds(df, value, parts))
+    # Counting a staged table reads file footers only.
+    parts, slots = range_plan(df.count(), ROWS_PER_RANGE, parts or shuffle_width(df.sparkSession))
+    ranged = with_range(df, value, value_bounds(df, value, parts), slots)
     offsets = _offsets(ranged, group, sums)
     w = (
         Window.partitionBy(*group, "_range")

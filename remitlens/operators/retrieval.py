@@ -186,6 +186,7 @@ class VectorIndex:
     """A prepared index: deduplicated, clustered and written once, searched many times."""
 
     members: DataFrame  # (_i1, _i2, _members): up to ``keep`` payload rows per distinct vector
+    anchors: DataFrame  # (_anchor, _np): how many of the pivots an anchor's rows are spread over
     placed: DataFrame  # vectors with their cluster
     pivots: np.ndarray
     clusters: dict[int, tuple[float, float, float]]  # cluster -> (radius, base radius, base share)
@@ -209,6 +210,7 @@ class VectorIndex:
         """Write vectors, payload and settings as tables under ``path``."""
         spark = self.placed.sparkSession
         self.members.write.mode("overwrite").parquet(f"{path}/members")
+        self.anchors.write.mode("overwrite").parquet(f"{path}/anchors")
         self.placed.write.mode("overwrite").parquet(f"{path}/placed")
         head = {
             "pivots": self.pivots.tolist(), "clusters": [[k, *v] for k, v in self.clusters.items()], "metric": self.metric,
@@ -222,7 +224,8 @@ class VectorIndex:
         head["pivots"] = np.array(head["pivots"], dtype=np.float64)
         head["clusters"] = {int(k): tuple(v) for k, *v in head["clusters"]}
         head["block"] = tuple(head["block"])
-        return cls(members=spark.read.parquet(f"{path}/members"), placed=spark.read.parquet(f"{path}/placed"), **head)
+        tables = {name: spark.read.parquet(f"{path}/{name}") for name in ("members", "anchors", "placed")}
+        return cls(**tables, **head)
 
 
 def _shaped(df: DataFrame, vec_col: str, anchor_col: str | None, time_col: str | None, k1: str, k2: str) -> DataFrame:
@@ -235,8 +238,12 @@ def _shaped(df: DataFrame, vec_col: str, anchor_col: str | None, time_col: str |
     )
 
 
-def _place(df: DataFrame, columns: Sequence[str], geometry: _Geometry, pivots: np.ndarray) -> DataFrame:
-    """Assign every row to its nearest pivot, with what the bounds need to know."""
+def _place(df: DataFrame, columns: Sequence[str], anchors: DataFrame, geometry: _Geometry, pivots: np.ndarray) -> DataFrame:
+    """Assign every row to the nearest of its anchor's pivots, with what the bounds need to know.
+
+    An anchor with few rows uses few pivots (the first ones), so that one very
+    large anchor does not scatter the small ones.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -244,6 +251,7 @@ def _place(df: DataFrame, columns: Sequence[str], geometry: _Geometry, pivots: n
                 continue
             x, known = _matrix(pdf["_vec"]), (pdf["_anchor"] != "").to_numpy().astype(float)
             far = geometry.to_pivots(x, known, pivots)
+            far[np.arange(len(pivots))[None, :] >= pdf["_np"].to_numpy()[:, None]] = np.inf
             home = far.argmin(axis=1)
             row = np.arange(len(x))
             # A zero vector has no direction: its cluster can never be ruled out.
@@ -255,8 +263,10 @@ def _place(df: DataFrame, columns: Sequence[str], geometry: _Geometry, pivots: n
                 _share=geometry.base_share(x, known),
             )
 
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*columns).schema.fields)
-    return df.mapInPandas(run, f"{kept}, _home int, _far double, _base double, _share double")
+    columns = [*columns, "_np"]
+    counted = df.join(anchors, "_anchor", "left").withColumn("_np", F.coalesce("_np", F.lit(1)))
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counted.select(*columns).schema.fields)
+    return counted.mapInPandas(run, f"{kept}, _home int, _far double, _base double, _share double")
 
 
 def build_index(
@@ -294,19 +304,20 @@ def build_index(
         ),
         "index",
     )
-    within = reps.groupBy("_anchor").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    n_pivots = int(max(1, min(MAX_PIVOTS, -(-within // block[1]))))
+    spread_over = F.least(F.ceil(F.count("*") / block[1]), F.lit(MAX_PIVOTS)).cast("int")
+    anchors = stage(reps.groupBy("_anchor").agg(spread_over.alias("_np")), "anchors")
+    n_pivots = anchors.agg(F.max("_np")).first()[0] or 1
     sampled = small_rows(reps.orderBy("_i1", "_i2").select("_vec").limit(n_pivots), MAX_PIVOTS, "pivots")
     pivots = np.array([r["_vec"] for r in sampled], dtype=np.float64)
     lean = reps.select(*INDEX_COLS)
     if len(pivots) <= 1 and not anchor_col:
         placed, clusters = lean.withColumn("_home", F.lit(0)), {}
     else:
-        placed = stage(_place(lean, INDEX_COLS, geometry, pivots), "placed")
+        placed = stage(_place(lean, INDEX_COLS, anchors, geometry, pivots), "placed")
         meta = placed.groupBy("_home").agg(F.max("_far").alias("far"), F.max("_base").alias("base"), F.max("_share").alias("share"))
         clusters = {r["_home"]: (r["far"], r["base"], r["share"]) for r in small_rows(meta, MAX_PIVOTS, "clusters")}
     return VectorIndex(
-        reps.select("_i1", "_i2", "_members"), placed, pivots, clusters, metric, geometry.weight, bool(anchor_col), bool(time_col), keep, list(payload), block
+        reps.select("_i1", "_i2", "_members"), anchors, placed, pivots, clusters, metric, geometry.weight, bool(anchor_col), bool(time_col), keep, list(payload), block
     )
 
 
@@ -398,7 +409,7 @@ def _search(queries: DataFrame, index: VectorIndex, fetch: int, probes: int | No
     if single:
         q = queries.withColumn("_home", F.lit(0))
     else:
-        q = stage(_place(queries, ["_q1", "_q2", "_vec", "_anchor", "_time"], geometry, pivots), "placed")
+        q = stage(_place(queries, ["_q1", "_q2", "_vec", "_anchor", "_time"], index.anchors, geometry, pivots), "placed")
     home = _best(_block_join(q, i, ["_anchor", "_home"], index.block, search, schema), fetch)
     if single:
         return home
@@ -407,7 +418,7 @@ def _search(queries: DataFrame, index: VectorIndex, fetch: int, probes: int | No
     n = len(pivots)
     full = np.array([c in index.clusters for c in range(n)])
     radius, base_radius, share = np.array([index.clusters.get(c, (0.0, 0.0, 0.0)) for c in range(n)]).T
-    waiting = q.select("_q1", "_q2", "_vec", "_anchor", "_time", "_home").join(_to_beat(home, fetch), ["_q1", "_q2"], "left")
+    waiting = q.select("_q1", "_q2", "_vec", "_anchor", "_time", "_home", "_np").join(_to_beat(home, fetch), ["_q1", "_q2"], "left")
 
     def visits(batches: Iterator[pd.DataFrame], cross: bool) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -416,11 +427,12 @@ def _search(queries: DataFrame, index: VectorIndex, fetch: int, probes: int | No
             x, known = _matrix(pdf["_vec"]), (pdf["_anchor"] != "").to_numpy().astype(float)
             tau = pdf["_tau"].fillna(np.inf).to_numpy()[:, None]
             distance = geometry.to_pivots(x, known, pivots)
-            go = np.broadcast_to(full, distance.shape).copy()
+            own = np.arange(n)[None, :] < pdf["_np"].to_numpy()[:, None]
+            go = full[None, :] & (own | cross)
             go[np.arange(len(x)), pdf["_home"].to_numpy()] &= cross
             open_ = go.copy()
             if probes is not None:
-                reach = np.argsort(np.where(full, distance, np.inf), axis=1).argsort(axis=1)
+                reach = np.argsort(np.where(full[None, :] & own, distance, np.inf), axis=1).argsort(axis=1)
                 go &= reach < probes
             elif cross:
                 angle = np.maximum(geometry.base_angles(x, pivots) - base_radius, 0.0)

@@ -64,7 +64,7 @@ def small_rows(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
-def shuffle_width(spark: SparkSession, cap: int = 2000) -> int:
+def shuffle_width(spark: SparkSession, cap: int = 20_000) -> int:
     return max(1, min(cap, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 

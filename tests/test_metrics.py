@@ -152,3 +152,23 @@ def test_smote_reaches_parity_inside_the_class(spark):
     for v in made[made["is_synthetic"]]["v"]:
         d = [np.linalg.norm(np.array(v) - a) + np.linalg.norm(np.array(v) - b) - np.linalg.norm(a - b) for a in real for b in real]
         assert min(d) < 1e-9
+
+
+@pytest.mark.parametrize("slots", [1, 7])
+def test_ranges_follow_the_values(spark, slots):
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random(2000) < 0.4, 1.0, rng.exponential(size=2000))
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    got = ranking.with_range(df, "x", ranking.value_bounds(df, "x", 5), slots).orderBy("x").collect()
+    ranges = [r["_range"] for r in got]
+    assert ranges == sorted(ranges) and len({r["_range"] for r in got if r["x"] == 1.0}) == 1
+
+
+def test_running_totals_with_slots(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "ROWS_PER_RANGE", 50)
+    monkeypatch.setattr(ranking, "MAX_QUANTILES", 4)
+    rng = np.random.default_rng(10)
+    x, n = rng.exponential(size=800), rng.integers(1, 9, size=800)
+    df = spark.createDataFrame(list(zip(x.tolist(), n.tolist())), "x double, n long")
+    got = {r["x"]: r["before_n"] for r in ranking.running_totals(df, "x", ["n"]).collect()}
+    assert got == {float(v): int(n[x < v].sum()) for v in x}

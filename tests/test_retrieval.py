@@ -126,3 +126,17 @@ def test_no_neighbours_give_zero_features(spark):
     assert all(rows["b"][c] == 0.0 for c in rt.RETRIEVAL_FEATURES)
     assert rows["a"]["retr_max_similarity"] == 0.0 and rows["a"]["retr_denial_rate"] == 1.0
     assert rows["a"]["retr_billed_delta"] == pytest.approx(2.0)
+
+
+def test_one_hot_anchor_among_small_ones(spark):
+    """An anchor with most rows is split over many clusters, the small ones are not."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 5)) + 2.0
+    ids = [f"c{i:04d}" for i in rng.permutation(300)]
+    anchors = ["big" if i < 200 else f"p{i % 25}" for i in range(300)]
+    df = vectors(spark, [(i, v.tolist(), a) for i, v, a in zip(ids, x, anchors)], "id string, v array<double>, a string")
+    index = rt.build_index(df, id_col="id", vec_col="v", keep=7, anchor_col="a", anchor_weight=1.0, block=SMALL)
+    sizes = {r["_anchor"]: r["_np"] for r in index.anchors.collect()}
+    assert sizes["big"] == 13 and all(n == 1 for a, n in sizes.items() if a != "big")
+    hits = rt.nearest(df, index, id_col="id", vec_col="v", k=6, anchor_col="a", exclude_self=True)
+    assert found(hits) == brute(ids, x, 6, anchors=anchors, weight=1.0)
