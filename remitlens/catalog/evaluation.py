@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from remitlens.catalog.claims import SEED, labeled_claims, scored_claims, sql_key, sql_uniform, table, with_claims, with_labeled
 from remitlens.catalog.registry import query, r6, s6
 from remitlens.catalog.tables import RUN_SQL
-from remitlens.functions.hashing import residue_key
+from remitlens.functions.hashing import PRIME
 from remitlens.operators import drift, evaluate, rules, sampling
 from remitlens.operators.sampling import POISSON_CDF, fit_temporal_cut, replicate_multipliers
-from remitlens.functions.hashing import PRIME
+from remitlens.session import stage
 
 BOOT = 20
 
@@ -184,23 +184,30 @@ def fold_summary(spark, sf):
     return out.select("model", *[r6(c) for c in out.columns if c != "model"])
 
 
-@query("health_verdict", "E13", with_labeled("""SELECT rtrim(concat(CASE WHEN lift <= 0.005 THEN 'SIREN: no text lift — note signal not landing  ' ELSE '' END,
-   CASE WHEN better > ceiling + 0.01 THEN 'SIREN: fused above oracle ceiling — leak  ' ELSE '' END)) AS flags, better > base AS lifted
-   FROM (SELECT max(CASE WHEN model = 'rule' THEN auroc END) AS ceiling, max(CASE WHEN model = 'filing' THEN auroc END) AS base,
-     max(CASE WHEN model = 'filing' THEN auroc END) AS better, 0.0 AS lift FROM area)""", RUN_SQL))
+_VERDICT = """, au AS (SELECT which, auroc FROM (SELECT which, sum(pos * (before + neg / 2)) / (sum(pos) * sum(neg)) AS auroc FROM (
+     SELECT which, pos, neg, sum(neg) OVER (PARTITION BY which ORDER BY s) - neg AS before FROM (
+       SELECT which, s, sum(denied)::DOUBLE AS pos, sum(1 - denied)::DOUBLE AS neg FROM (
+         SELECT 'better' AS which, true_denial_prob AS s, denied FROM tt UNION ALL SELECT 'base', blurred, denied FROM tt) GROUP BY ALL)) GROUP BY which)),
+ mx AS (SELECT (SELECT auroc FROM au WHERE which = 'better') AS ceiling, (SELECT auroc FROM au WHERE which = 'base') AS base,
+   (SELECT quantile_cont(auroc_better - auroc_base, 0.025) FROM br) AS low)"""
+
+
+@query("health_verdict", "E13", with_labeled("""SELECT 'rule' AS model, concat_ws('  ', CASE WHEN ceiling - base <= 0.005 THEN 'SIREN: no text lift — note signal not landing' END,
+     CASE WHEN low <= 0 THEN 'WARN: lift 95% CI includes 0 — not statistically clear' END) AS flags FROM mx
+   UNION ALL SELECT 'blurred', concat_ws('  ', CASE WHEN base - ceiling <= 0.005 THEN 'SIREN: no text lift — note signal not landing' END,
+     CASE WHEN base > ceiling + 0.01 THEN 'SIREN: fused above oracle ceiling — leak' END, CASE WHEN low > 0 THEN 'WARN: lift 95% CI includes 0 — not statistically clear' END) FROM mx""", BOOT_SQL + _VERDICT))
 def health_verdict(spark, sf):
-    """Flags of a text channel that adds nothing: the filing score against itself."""
-    test = _test(spark, sf)
-    rows = test.select(
-        "denied",
-        F.inline(F.array(F.struct(F.lit("rule").alias("model"), F.col("true_denial_prob").alias("p")), F.struct(F.lit("filing").alias("model"), (F.col("_filing_days") / 240.0).alias("p")))),
+    """Verdict on the rule taken as the fused model over the blurred score, and the other way round."""
+    lift = stage(evaluate.bootstrap_auroc_lift(_test(spark, sf), "claim_id", "denied", "blurred", "true_denial_prob", replicates=BOOT), "lift")
+    up = lift.select(
+        F.lit("rule").alias("model"), F.col("lift_point").alias("text_lift"), F.col("auroc_better").alias("fused"), F.col("auroc_better").alias("ceiling"),
+        F.lit(0.0).alias("blank_lift"), F.col("lift_low").alias("lift_ci_low"),
     )
-    one = evaluate.auroc(rows, "denied", "p", ["model"]).groupBy().pivot("model", ["rule", "filing"]).agg(F.first("auroc"))
-    metrics = one.select(
-        F.lit(0.0).alias("text_lift"), F.col("filing").alias("fused"), F.col("rule").alias("ceiling"), F.lit(0.0).alias("blank_lift"), F.lit(0.1).alias("lift_ci_low"),
-        (F.col("filing") > F.col("filing")).alias("lifted"),
+    down = lift.select(
+        F.lit("blurred").alias("model"), (-F.col("lift_point")).alias("text_lift"), F.col("auroc_base").alias("fused"), F.col("auroc_better").alias("ceiling"),
+        F.lit(0.0).alias("blank_lift"), (-F.col("lift_low")).alias("lift_ci_low"),
     )
-    return evaluate.health_flags(metrics).select(F.array_join("flags", "  ").alias("flags"), "lifted")
+    return evaluate.health_flags(up.unionByName(down)).select("model", F.array_join("flags", "  ").alias("flags"))
 
 
 # --- drift --------------------------------------------------------------------------

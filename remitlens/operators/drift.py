@@ -41,7 +41,15 @@ def psi_numeric(ref: DataFrame, cmp: DataFrame, column: str, bins: int = NUMERIC
     edges = exact_quantiles(ref, column, [i / bins for i in range(1, bins)])
     both = _sides(ref, cmp, {"x": F.col(column).cast("double")})
     counts = both.groupBy(range_index(F.col("x"), edges).alias("bin")).agg(*_side_counts())
-    return _psi(counts.withColumn("feature", F.lit(column)), ["feature"])
+    # At most ``bins`` rows by now: small enough for one array.
+    folded = counts.agg(F.sum("n_ref").alias("t_ref"), F.sum("n_cmp").alias("t_cmp"), F.collect_list(F.struct("n_ref", "n_cmp")).alias("h"))
+
+    def term(s):
+        e = F.greatest(s["n_ref"] / F.col("t_ref"), F.lit(FLOOR))
+        a = F.greatest(s["n_cmp"] / F.col("t_cmp"), F.lit(FLOOR))
+        return (a - e) * F.log(a / e)
+
+    return folded.select(F.lit(column).alias("feature"), F.aggregate("h", F.lit(0.0), lambda acc, s: acc + term(s)).alias("psi"))
 
 
 def psi_categorical(ref: DataFrame, cmp: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -86,8 +94,9 @@ def population_shift_report(
     nothing = F.lit(None).cast("double")
     numeric_rows = None
     for c in numeric:
-        row = psi_numeric(ref, cmp, c).join(ks_two_sample(ref, cmp, c), "feature")
+        row = psi_numeric(ref, cmp, c).unionByName(ks_two_sample(ref, cmp, c), allowMissingColumns=True)
         numeric_rows = row if numeric_rows is None else numeric_rows.unionByName(row)
+    numeric_rows = numeric_rows.groupBy("feature").agg(*[F.max(c).alias(c) for c in ("psi", "ks_stat", "ks_pvalue")])
     report = numeric_rows.select("feature", F.lit("numeric").alias("type"), "psi", "ks_stat", "ks_pvalue").unionByName(
         psi_categorical(ref, cmp, categorical).select(
             "feature", F.lit("categorical").alias("type"), "psi", nothing.alias("ks_stat"), nothing.alias("ks_pvalue")
