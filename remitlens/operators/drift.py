@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from remitlens.functions.scalar import drift_flag
 from remitlens.operators.ranking import exact_quantiles, range_index, running_totals
+from remitlens.session import stage
 
 FLOOR = 1e-6
 NUMERIC_BINS = 10
@@ -90,7 +91,13 @@ def population_shift_report(
     categorical: Sequence[str] = ("insurance_type", "cpt_code", "dx_category"),
     label: str | None = "denied",
 ) -> DataFrame:
-    """Drift row per feature, and a prevalence row when both sides are labelled."""
+    """Drift row per feature, and a prevalence row when both sides are labelled.
+
+    The needed columns of both sides are staged once; every metric scans only its own.
+    """
+    labelled = bool(label) and label in ref.columns and label in cmp.columns
+    needed = [*numeric, *categorical, *([label] if labelled else [])]
+    ref, cmp = stage(ref.select(*needed), "reference"), stage(cmp.select(*needed), "compared")
     nothing = F.lit(None).cast("double")
     numeric_rows = None
     for c in numeric:
@@ -103,7 +110,7 @@ def population_shift_report(
         )
     )
     report = report.withColumn("drift", drift_flag("psi"))
-    if label and label in ref.columns and label in cmp.columns:
+    if labelled:
         rates = _sides(ref, cmp, {"y": F.col(label).cast("double")}).agg(
             F.avg(F.when(F.col("_side") == 0, F.col("y"))).alias("a"), F.avg(F.when(F.col("_side") == 1, F.col("y"))).alias("b")
         )
