@@ -8,8 +8,10 @@
 2. An owner decodes the strings of all senders, finds the fingerprints that two or more
    sent, and answers every string with a bitmap in the order of the string.
 3. A sender reads the bitmaps by rank: a zero means unique for certain (or repeated
-   only inside the sender, which it knows itself). Only suspects are fetched again with
-   their text and grouped by the bytes of the text.
+   only inside the sender, which it knows itself). The suspects' fingerprints go into a
+   Bloom filter of bounded size; only texts that pass it are shuffled, after equal
+   ones have met inside their partition, and grouped by their bytes. A false positive
+   costs a little shuffle and ends as a group of one.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ PRINT_BITS = 48
 #: Fingerprints an owner should hold; owners follow the row count.
 OWNER_ROWS = 1 << 20
 _EMIT = 10_000
+#: The filter has 16 bits a suspect, and 2 ** 26 bits (8 MB) at most; it is broadcast.
+FILTER_BITS_EACH, MOST_FILTER_BITS, FILTER_HASHES = 16, 1 << 26, 3
 
 
 def golomb_encode(values: np.ndarray) -> bytes:
@@ -111,7 +115,39 @@ def _suspects(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     for owner, part in rows.groupby("owner").indices.items():
         bits = np.unpackbits(np.frombuffer(maps[owner], np.uint8))
         suspect[part] |= bits[rows["rank"].to_numpy()[part]].astype(bool)
-    return rows.loc[suspect, ["id", "sha"]].drop_duplicates()
+    return rows.loc[suspect, ["print"]].drop_duplicates()
+
+
+def _filter_bits(prints: DataFrame) -> np.ndarray:
+    """A Bloom filter of a table of fingerprints, as words of 64 bits; built by Spark, at most 8 MB."""
+    wanted = FILTER_BITS_EACH * max(64, prints.count())
+    bits = min(MOST_FILTER_BITS, 1 << (wanted - 1).bit_length())
+    place = F.explode(F.array(*[F.pmod(F.xxhash64("print", F.lit(i)), F.lit(bits)) for i in range(FILTER_HASHES)]))
+    placed = prints.select(place.alias("place")).select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+    words = np.zeros(bits // 64, np.int64)
+    got = placed.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return words.view(np.uint64)
+
+
+def _passing(texts: DataFrame, words: np.ndarray) -> DataFrame:
+    """Rows whose print the filter holds; only hash positions go through Python."""
+    held, bits = texts.sparkSession.sparkContext.broadcast(words), len(words) * 64
+
+    @F.pandas_udf("boolean")
+    def passes(*places: pd.Series) -> pd.Series:
+        hit = np.ones(len(places[0]), bool)
+        for place in places:
+            at = place.to_numpy(np.uint64)
+            hit &= (held.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return pd.Series(hit)
+
+    return texts.filter(passes(*[F.pmod(F.xxhash64("print", F.lit(i)), F.lit(bits)) for i in range(FILTER_HASHES)]))
+
+
+def _print_of(sha: str):
+    """The fingerprint of a digest column: its first 48 bits."""
+    return F.conv(F.substring(sha, 1, PRINT_BITS // 4), 16, 10).cast("long")
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,13 +171,11 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sent = stage(source.select("id", F.sha2("text", 256).alias("sha")).mapInArrow(_sender(owners, arrow_id), schema), "dedup-sent")
     rows, codes = sent.filter(F.col("code").isNull()), sent.filter(F.col("code").isNotNull())
     answers = codes.select("sender", "owner", "code").groupBy("owner").applyInPandas(_answer, "sender int, owner int, bitmap binary")
-    narrow = rows.select("sender", "owner", "rank", "twice", "id", "sha")
-    suspects = narrow.groupBy("sender").cogroup(answers.groupBy("sender")).applyInPandas(_suspects, f"id {kind}, sha string")
+    narrow = rows.select("sender", "owner", "rank", "twice", _print_of("sha").alias("print"))
+    suspects = narrow.groupBy("sender").cogroup(answers.groupBy("sender")).applyInPandas(_suspects, "print long")
     suspects = stage(suspects.distinct(), "dedup-suspects")
-    named = suspects.select(F.col("id").alias("_id"), F.col("sha").alias("_sha"))
-    texts = source.withColumn("sha", F.sha2("text", 256))
-    same = texts.join(named, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left_semi")
-    groups = same.groupBy("sha", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    texts = source.withColumn("sha", F.sha2("text", 256)).withColumn("print", _print_of("sha"))
+    groups = _passing(texts, _filter_bits(suspects)).groupBy("sha", "text").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = stage(groups.filter("group_size > 1").drop("text"), "dedup-groups")
     if groups.groupBy("sha").count().filter("count > 1").take(1):
         raise ValueError("two different texts with one SHA-256")
