@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from remitlens.llm.ann import nearest
 from remitlens.llm.exact_dedup import duplicate_groups
 from remitlens.llm.html_text import extract_pages
+from remitlens.llm.license_scan import scan_licenses
 from remitlens.llm.line_dedup import deduplicate_lines
 from remitlens.llm.mixing import mix
 from remitlens.llm.quality import quality_scores
+from remitlens.llm.sentencepiece_scan import decode, encode
 from remitlens.llm.simhash import near_duplicates
 from remitlens.llm.token_files import tokenized
 
@@ -19,6 +21,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -29,6 +35,14 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenized(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    texts = decode(encode(documents(spark, sf_dir), model), model)
+    return texts.select("doc_id", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(documents(spark, sf_dir))
 
@@ -57,8 +71,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_simhash": op2_simhash,
     "op3_token_files": op3_token_files,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mixing": op6_mixing,
     "op7_cross_polytope": op7_cross_polytope,
