@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from remitlens.llm.common import buckets_for, stage, text_of, word_count
+from remitlens.session import shuffle_width
 
 MAX_EPOCHS = 3
 BLOCK = 64
 #: A source has at least this many blocks; smaller sources get shorter blocks.
 LEAST_BLOCKS = 128
-GROUP_ROWS = 10_000
+GROUP_ROWS = 2_000
 SHARD_SLOTS = 16_384
 ROUNDS, WALK = 4, 16
 
@@ -94,7 +95,7 @@ def mix_slots(plan: DataFrame, seed: int = 0, shard_slots: int = SHARD_SLOTS) ->
     """
     step = F.greatest(F.lit(1), F.ceil(F.sqrt("slots"))).cast("long")
     runs = plan.filter("slots > 0").withColumn("step", step).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / F.col("step")))))
-    runs = runs.repartition("source", "run")
+    runs = runs.repartition(shuffle_width(plan.sparkSession), "source", "run")
     first = F.col("run") * F.col("step")
     slots = runs.withColumn("k", F.explode(F.sequence(first, F.least(first + F.col("step"), F.col("slots")) - 1)))
     slots = slots.withColumn("pass", F.floor(F.col("k") / F.col("blocks")).cast("long"))
@@ -117,7 +118,7 @@ def document_spans(sized: DataFrame, plan: DataFrame) -> DataFrame:
     offsets = totals.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("source", "bucket").orderBy("id", "body", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
+    placed = placed.join(offsets.hint("merge"), F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
     lines = plan.select(F.col("source").alias("_name"), "source_size", "target", "length")
     placed = placed.withColumn("start", F.col("offset") + F.col("within")).select("id", "source", "size", "start")
     return placed.join(lines, F.col("source").eqNullSafe(F.col("_name"))).drop("_name")
@@ -139,7 +140,8 @@ def mix(
     plan = stage(source_plan(sized, block, max_epochs).coalesce(1), "mix-plan")
     spans = stage(document_spans(sized, plan), "mix-spans")
     uses = mix_slots(plan, seed).groupBy("source", "block").agg(F.count("*").alias("uses"), F.min("slot").alias("slot"))
-    uses = uses.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "uses", "slot")
+    # Unfolded slots are far more than the planner expects of the small plan: never a broadcast.
+    uses = uses.select(F.col("source").alias("_source"), F.col("block").alias("_block"), "uses", "slot").hint("merge")
     row = ["id", "source", "size", "source_size", "target", "start"]
     last = F.col("start") + F.col("size") - 1
     cut = spans.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / F.col("length")), F.floor(last / F.col("length")))))
