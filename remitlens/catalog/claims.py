@@ -13,7 +13,7 @@ from remitlens.constants import FILING_WINDOW_DAYS, PREVALENCE_TARGET
 from remitlens.functions.scalar import lookup
 from remitlens.operators import rules
 from remitlens.operators.sampling import TemporalCut, fit_temporal_cut
-from remitlens.session import spread, stage
+from remitlens.session import small_rows, spread, stage
 
 SEGMENT_PAYER = {
     "AUTOMOBILE": "medicare",
@@ -24,6 +24,7 @@ SEGMENT_PAYER = {
 }
 AUTH_TYPES = ["PROMO", "LARGE"]
 SEED = 42
+MAX_PROCEDURES = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,13 +84,14 @@ def claims_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_returnflag") != "R").alias("_necessity_documented"),
         (F.lit(0.9) * (F.col("s_acctbal") - 4500) / 3150).alias("_provider_propensity"),
     )
-    # Six procedures: the schedule is computed from its own two-column scan.
+    # The schedule is computed from its own two-column scan; its size is checked before it is broadcast.
     fees = fee_schedule(
         table(spark, sf_dir, "lineitem")
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .select(F.col("p_type").alias("cpt_code"), F.col("l_extendedprice").alias("billed_amount"))
     )
-    return base.join(fees, "cpt_code").withColumn("_amount_ratio", F.col("billed_amount") / F.col("_procedure_base_cost"))
+    known = spark.createDataFrame(small_rows(fees, MAX_PROCEDURES, "procedures with a fee"), fees.schema)
+    return base.join(F.broadcast(known), "cpt_code").withColumn("_amount_ratio", F.col("billed_amount") / F.col("_procedure_base_cost"))
 
 
 _stores: dict[tuple, tuple] = {}

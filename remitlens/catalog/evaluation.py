@@ -234,6 +234,12 @@ def _ks_sql(c: str) -> str:
       SELECT {c}, sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END)::DOUBLE AS n0, sum(CASE WHEN split = 'test' THEN 1 ELSE 0 END)::DOUBLE AS n1 FROM labeled GROUP BY 1)))"""
 
 
+def _ks_p_sql(c: str) -> str:
+    """Asymptotic p-value: the same hundred terms."""
+    return f"""(SELECT CASE WHEN lam < 0.2 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, 2.0::DOUBLE * list_sum([CASE WHEN k % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * exp(-2.0::DOUBLE * k * k * lam * lam) FOR k IN range(1, 101)]))) END
+      FROM (SELECT {_ks_sql(c)} * sqrt(n * m / (n + m)) AS lam FROM (SELECT count(*) FILTER (split = 'train')::DOUBLE AS n, count(*) FILTER (split = 'test')::DOUBLE AS m FROM labeled)))"""
+
+
 @query("psi_numeric", "D1", with_labeled(" UNION ALL ".join(f"SELECT '{c}' AS feature, {s6(_psi_num_sql(c), 'psi')}" for c in ("billed_amount", "filing_days"))))
 def psi_numeric(spark, sf):
     a, b = _sides(spark, sf)
@@ -247,22 +253,22 @@ def psi_categorical(spark, sf):
     return drift.psi_categorical(a, b, ["insurance_type", "cpt_code", "dx_category", "provider_id"]).select("feature", r6("psi"))
 
 
-@query("ks_two_sample", "D3", with_labeled(" UNION ALL ".join(f"SELECT '{c}' AS feature, {s6(_ks_sql(c), 'ks_stat')}" for c in ("billed_amount", "filing_days"))))
+@query("ks_two_sample", "D3", with_labeled(" UNION ALL ".join(f"SELECT '{c}' AS feature, {s6(_ks_sql(c), 'ks_stat')}, {s6(_ks_p_sql(c), 'ks_pvalue')}" for c in ("billed_amount", "filing_days"))))
 def ks_two_sample(spark, sf):
     a, b = _sides(spark, sf)
-    return drift.ks_two_sample(a, b, "billed_amount").unionByName(drift.ks_two_sample(a, b, "filing_days")).select("feature", r6("ks_stat"))
+    return drift.ks_two_sample(a, b, "billed_amount").unionByName(drift.ks_two_sample(a, b, "filing_days")).select("feature", r6("ks_stat"), r6("ks_pvalue"))
 
 
 _FLAG = "CASE WHEN psi > 0.25 THEN 'major' WHEN psi > 0.1 THEN 'moderate' ELSE 'negligible' END"
 
 
 @query("population_shift_report", "D4 P13", with_labeled(
-    f"SELECT feature, type, (round(psi, 6) + 0.0::DOUBLE) AS psi, (round(ks, 6) + 0.0::DOUBLE) AS ks_stat, {_FLAG} AS drift FROM ("
+    f"SELECT feature, type, (round(psi, 6) + 0.0::DOUBLE) AS psi, (round(ks, 6) + 0.0::DOUBLE) AS ks_stat, (round(p, 6) + 0.0::DOUBLE) AS ks_pvalue, {_FLAG} AS drift FROM ("
     + " UNION ALL ".join(
-        [f"SELECT '{c}' AS feature, 'numeric' AS type, {_psi_num_sql(c)} AS psi, {_ks_sql(c)} AS ks" for c in ("billed_amount", "filing_days")]
-        + [f"SELECT '{c}', 'categorical', {_psi_cat_sql(c)}, NULL" for c in ("insurance_type", "cpt_code", "dx_category")]
+        [f"SELECT '{c}' AS feature, 'numeric' AS type, {_psi_num_sql(c)} AS psi, {_ks_sql(c)} AS ks, {_ks_p_sql(c)} AS p" for c in ("billed_amount", "filing_days")]
+        + [f"SELECT '{c}', 'categorical', {_psi_cat_sql(c)}, NULL, NULL" for c in ("insurance_type", "cpt_code", "dx_category")]
     )
-    + ") UNION ALL SELECT 'denial_prevalence', 'label', NULL, NULL, printf('%.3f -> %.3f', (SELECT avg(denied) FROM labeled WHERE split = 'train'), (SELECT avg(denied) FROM labeled WHERE split = 'test'))"))
+    + ") UNION ALL SELECT 'denial_prevalence', 'label', NULL, NULL, NULL, printf('%.3f -> %.3f', (SELECT avg(denied) FROM labeled WHERE split = 'train'), (SELECT avg(denied) FROM labeled WHERE split = 'test'))"))
 def population_shift_report(spark, sf):
     a, b = _sides(spark, sf)
-    return drift.population_shift_report(a, b).select("feature", "type", r6("psi"), r6("ks_stat"), "drift")
+    return drift.population_shift_report(a, b).select("feature", "type", r6("psi"), r6("ks_stat"), r6("ks_pvalue"), "drift")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from remitlens.catalog.claims import notes, table
 from remitlens.catalog.registry import query, r6, s6
 from remitlens.catalog.text import DIM, tokens_sql
-from remitlens.constants import ACTION_BY_STATUS, DENSE_THRESHOLD, LEXICAL_THRESHOLD, POLICIES
+from remitlens.constants import ACTION_BY_STATUS, DENSE_THRESHOLD, EXPLANATIONS, LEXICAL_THRESHOLD, POLICIES
 from remitlens.functions.text import sentences
 from remitlens.operators import evaluate
 from remitlens.operators import evidence as ev
@@ -117,7 +117,14 @@ def deficiency_report(spark, sf):
     return report.select("case_id", "req_id", "status", "cited_chunk", "suggested_action", "confidence", F.length("requirement_text").cast("long").alias("n_requirement"))
 
 
-@query("deficiency_rationale", "V5 K3")
+def _explained(status: str) -> str:
+    fields = {"$requirement": "requirement_text", "$confidence": _SHOWN, "$chunk": f"({_CITED})"}
+    quoted = [fields.get(part) or "'" + part.replace("'", "''") + "'" for part in EXPLANATIONS[status]]
+    return " || ".join(quoted)
+
+
+@query("deficiency_rationale", "V5 K3", LEX_CL + f""" SELECT case_id, predicted_status AS status, CASE predicted_status WHEN 'complete' THEN {_explained('complete')}
+  WHEN 'omitted' THEN {_explained('omitted')} ELSE {_explained('unsupported')} END AS rationale FROM cl""")
 def deficiency_rationale(spark, sf):
     return ev.deficiency_report(ev.classify_lexical(evidence_cases(spark, sf))).select("case_id", "status", "rationale")
 

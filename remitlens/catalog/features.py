@@ -84,10 +84,10 @@ _SIG = ["has_medical_necessity", "has_prior_auth_mention", "note_length", "has_d
 @query("category_profile", "F6", with_claims(
     f"""SELECT claim_id, diagnosis_category, {', '.join(s6(f'coalesce(m_{c}, 0)', f'cat_{c}') for c in _SIG)}
       FROM (SELECT claim_id, {category_sql('icd10_code')} AS diagnosis_category FROM claims) LEFT JOIN prof USING (diagnosis_category)""").replace(
-    " SELECT claim_id, diagnosis_category", f""", sig AS (SELECT {category_sql("concat('n', doc_id)")} AS diagnosis_category, {signals_sql('text')} FROM documents WHERE doc_id % 3 <> 2),
+    " SELECT claim_id, diagnosis_category", f""", sig AS (SELECT {category_sql("concat('n', doc_id)")} AS diagnosis_category, {signals_sql('text')} FROM documents),
      prof AS (SELECT diagnosis_category, {', '.join(f'avg({c}) AS m_{c}' for c in _SIG)} FROM sig GROUP BY ALL) SELECT claim_id, diagnosis_category""", 1))
 def category_profile(spark, sf):
-    notes = table(spark, sf, "documents").where("doc_id % 3 <> 2").select(
+    notes = table(spark, sf, "documents").select(
         fn.code_category(F.concat(F.lit("n"), F.col("doc_id").cast("string"))).alias("diagnosis_category"), *fn.note_signals("text")
     )
     claims = scored_claims(spark, sf).select("claim_id", fn.code_category("icd10_code").alias("diagnosis_category"))

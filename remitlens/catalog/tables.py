@@ -185,8 +185,7 @@ def index_reload(spark, sf):
   service_date, submission_date, denied, reason_code FROM labeled"""))
 def observable_columns(spark, sf):
     df = labeled_claims(spark, sf)
-    hidden = {"base_logodds", "true_denial_prob", "split", *[c for c in df.columns if c.startswith("c_")]}
-    return df.select([c for c in fn.observable_columns(df) if c not in hidden])
+    return df.select(fn.observable_columns(df))
 
 
 @query("amount_features", "P2 P3", with_claims(f"SELECT claim_id, filing_days, {s6('ln(1 + billed_amount)', 'log_billed')}, {s6('billed_amount / base_cost', 'amount_ratio')} FROM claims"))

@@ -116,10 +116,30 @@ def request_index(custom_id) -> Column:
     return F.regexp_extract(_col(custom_id), r"^note-(\d+)$", 1).cast("long")
 
 
+#: Outcome-side columns of labelled claims that carry no leading underscore.
+_HIDDEN = {"base_logodds", "true_denial_prob", "split"}
+
+
 def observable_columns(df: DataFrame) -> list[str]:
-    """Columns a model may see; latent drivers carry a leading underscore."""
-    return [c for c in df.columns if not c.startswith("_")]
+    """Columns a model may see.
+
+    Latent drivers carry a leading underscore; the rule's own driver terms (``c_``),
+    score, probability and split are kept out too.
+    """
+    return [c for c in df.columns if not c.startswith(("_", "c_")) and c not in _HIDDEN]
 
 
-def latent_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c.startswith("_")]
+_HALF = [k for k in range(5, 1000, 10) if float(f"{k / 1000:.2f}") > k / 1000]
+
+
+def two_digits(x) -> Column:
+    """A number between -1 and 1 with two decimals, rounded from its binary value.
+
+    Only a number that reads k / 1000 with k ending in 5 can round differently in
+    decimal; for those the side of the tie on which the double lies is known per k.
+    """
+    c = _col(x)
+    k = F.round(F.abs(c) * 1000).cast("int")
+    tie = (k % 10 == 5) & (F.abs(c) == k / F.lit(1000.0))
+    cents = F.when(k.isin(_HALF), (k + 5) / F.lit(1000.0)).otherwise((k - 5) / F.lit(1000.0))
+    return F.when(tie, F.format_string("%.2f", F.when(c < 0, -cents).otherwise(cents))).otherwise(F.format_string("%.2f", c))

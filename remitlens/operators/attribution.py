@@ -74,6 +74,8 @@ def tree_leaves(spark, model) -> list[Leaf]:
         if r["leftChild"] < 0:
             out.append(Leaf(w * value(r), spans, covers))
             return
+        if r["split"]["numCategories"] >= 0:
+            raise ValueError(f"feature {r['split']['featureIndex']} is split by categories; only thresholds can be attributed")
         feature, at = r["split"]["featureIndex"], r["split"]["leftCategoriesOrThreshold"][0]
         low, high = spans.get(feature, (-np.inf, np.inf))
         for child, span in ((r["leftChild"], (low, min(high, at))), (r["rightChild"], (max(low, at), high))):

@@ -94,8 +94,12 @@ def _percent_floor(score: Column) -> Column:
 def cost_curve(
     df: DataFrame, label: str, score: str, by: Sequence[str] = (), cost_fn: float = COST_FN, cost_fp: float = COST_FP
 ) -> DataFrame:
-    """Cost at every threshold 0.02 .. 0.98 from one histogram of the scores."""
-    slots = df.groupBy(*by, _percent_floor(F.col(score)).alias("slot")).agg(
+    """Cost at every threshold 0.02 .. 0.98 from one histogram of the scores.
+
+    Scores outside [0, 1] reach all or none of the thresholds: the histogram has 101 slots at most.
+    """
+    reached = _percent_floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(score).cast("double"))))
+    slots = df.groupBy(*by, reached.alias("slot")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) == 0).cast("long")).alias("neg")
     )
     folded = slots.groupBy(*by).agg(

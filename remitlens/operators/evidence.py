@@ -7,8 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitlens.constants import ACTION_BY_STATUS, DENSE_THRESHOLD, LEXICAL_THRESHOLD, POLICIES, STOP_WORDS
-from remitlens.functions.scalar import lookup
+from remitlens.constants import ACTION_BY_STATUS, DENSE_THRESHOLD, EXPLANATIONS, LEXICAL_THRESHOLD, POLICIES, STOP_WORDS
+from remitlens.functions.scalar import lookup, two_digits
 from remitlens.functions.text import flagged, text_key, tokens
 from remitlens.operators.text import hashed_vectors
 from remitlens.session import stage
@@ -141,28 +141,15 @@ def deficiency_report(classified: DataFrame) -> DataFrame:
     """Reviewer rows: confidence, action and a templated explanation per status."""
     status, req, chunk = F.col("predicted_status"), F.col("requirement_text"), F.col("cited_chunk")
     confidence = F.when(status == "complete", F.col("sub_score")).otherwise(F.col("rec_score"))
-    shown = F.format_string("%.2f", F.bround(confidence, 2))
-    # Explanation texts.
-    complete = F.concat(
-        F.lit('Requirement met: "'), req, F.lit('" Evidence was found in the submitted packet (match confidence '), shown,
-        F.lit('): "'), chunk, F.lit('" No further documentation is needed for this item.'),
-    )
-    omitted = F.concat(
-        F.lit('Requirement not submitted: "'), req,
-        F.lit('" Supporting evidence exists in the patient\'s full record (match confidence '), shown,
-        F.lit(') but was not included in what was submitted with this claim: "'), chunk,
-        F.lit('" Adding this note to the packet should resolve the deficiency without needing a new encounter.'),
-    )
-    unsupported = F.concat(
-        F.lit('Requirement unsupported: "'), req,
-        F.lit('" No matching evidence was found anywhere in the patient\'s record (best match confidence '), shown,
-        F.lit(', below the threshold for a credible match). Documentation supporting this requirement will need to be '
-              'obtained before the claim can be submitted with confidence.'),
-    )
+    fields = {"requirement": req, "confidence": two_digits(confidence), "chunk": chunk}
+
+    def text(of: str) -> Column:
+        return F.concat(*[fields[part[1:]] if part.startswith("$") else F.lit(part) for part in EXPLANATIONS[of]])
+
     return classified.select(
         "case_id", "req_id", "requirement_text", status.alias("status"), "cited_chunk", confidence.alias("confidence"),
         lookup("predicted_status", ACTION_BY_STATUS).alias("suggested_action"),
-        F.when(status == "complete", complete).when(status == "omitted", omitted).otherwise(unsupported).alias("rationale"),
+        F.when(status == "complete", text("complete")).when(status == "omitted", text("omitted")).otherwise(text("unsupported")).alias("rationale"),
     )
 
 

@@ -98,8 +98,11 @@ def fit_encoder(train: DataFrame) -> StructuredEncoder:
     stats = train.agg(
         *[F.avg(c).alias(f"m_{n}") for n, c in numbers.items()], *[F.stddev_pop(c).alias(f"s_{n}") for n, c in numbers.items()]
     ).first()
-    combos = small_rows(train.select("insurance_type", "cpt_code", "dx_category").distinct(), MAX_VOCABULARY, "code combinations")
-    vocab = [sorted({r[c] for r in combos if r[c] is not None}) for c in ("insurance_type", "cpt_code", "dx_category")]
+    # Three vocabularies, not their combinations: the encoder's width is their sum.
+    vocab = [
+        sorted(r[c] for r in small_rows(train.select(c).where(F.col(c).isNotNull()).distinct(), MAX_VOCABULARY, f"values of {c}"))
+        for c in ("insurance_type", "cpt_code", "dx_category")
+    ]
     return StructuredEncoder([stats[f"m_{n}"] for n in NUMERIC], [stats[f"s_{n}"] + 1e-8 for n in NUMERIC], *vocab)
 
 

@@ -1,13 +1,12 @@
 """Global ranks, running totals and exact quantiles without a one-task window.
 
 Rows are cut into value ranges of about equal size, each range is ordered on its
-own, and the ranges' totals (a few rows) supply the offsets. Equal values always
+own, and the ranges' totals supply the offsets. Equal values always
 fall into the same range, so results do not depend on physical partitioning.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -17,7 +16,8 @@ from pyspark.sql import functions as F
 from remitlens.functions.hashing import KEY_SPAN, hash_key
 from remitlens.session import shuffle_width, small_rows, stage
 
-MAX_OFFSETS = 500_000
+#: Equal pieces of one quantile range at most.
+MAX_SLOTS = 500
 MAX_QUANTILES = 1000
 ROWS_PER_RANGE = 1_000_000
 
@@ -53,39 +53,28 @@ def range_plan(rows: int, per_range: int, at_least: int = 1) -> tuple[int, int]:
     """(quantile ranges, slots per range) that put about ``per_range`` rows into a range."""
     wanted = max(at_least, -(-rows // per_range))
     parts = min(wanted, MAX_QUANTILES)
-    return parts, min(-(-wanted // parts), MAX_OFFSETS // MAX_QUANTILES)
+    return parts, min(-(-wanted // parts), MAX_SLOTS)
 
 
 def _offsets(ranged: DataFrame, group: Sequence[str], sums: Sequence[str]) -> DataFrame:
-    """Total of each ``sums`` column over all earlier ranges, per group."""
-    spark = ranged.sparkSession
+    """Total of each ``sums`` column over all earlier ranges, per group.
+
+    One row per group and range, ordered inside its group: a group has at most as
+    many ranges as the plan gave, however many groups there are.
+    """
     totals = ranged.groupBy(*group, "_range").agg(*[F.sum(s).alias(s) for s in sums])
-    rows = sorted(
-        small_rows(totals, MAX_OFFSETS, "range totals"),
-        key=lambda r: tuple((r[g] is not None, r[g]) for g in group) + (r["_range"],),
-    )
-    running: dict = defaultdict(lambda: [0] * len(sums))
-    out = []
-    for r in rows:
-        key = tuple(r[g] for g in group)
-        acc = running[key]
-        out.append((*key, r["_range"], *acc))
-        running[key] = [a + (r[s] or 0) for a, s in zip(acc, sums)]
-    schema = totals.select(*group, "_range", *[F.col(s).alias(f"_off_{s}") for s in sums]).schema
-    for f in schema.fields:
-        f.nullable = True
-    return spark.createDataFrame(out, schema)
+    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*group, "_range", *[F.coalesce(F.sum(s).over(w), F.lit(0)).alias(f"_off_{s}") for s in sums])
 
 
 def _add_offsets(ranged: DataFrame, offsets: DataFrame, group: Sequence[str]) -> DataFrame:
-    # At most MAX_OFFSETS rows, checked when they were collected.
     keys = [*group, "_range"]
-    small = F.broadcast(offsets.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in offsets.columns if c not in keys]))
+    other = offsets.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in offsets.columns if c not in keys])
     cond = None
     for k in keys:
         c = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
         cond = c if cond is None else cond & c
-    return ranged.join(small, cond).drop(*[f"_k_{k}" for k in keys])
+    return ranged.join(other, cond).drop(*[f"_k_{k}" for k in keys])
 
 
 def running_totals(

@@ -63,19 +63,46 @@ class _Geometry:
     def cost(self, q, qa, i, ia) -> np.ndarray:
         """Smaller is better: minus the cosine, or the squared distance."""
         if self.metric == "euclidean":
-            d = (q * q).sum(1)[:, None] + (i * i).sum(1)[None, :] - 2.0 * (q @ i.T)
-            return np.round(np.maximum(d, 0.0), DIGITS)
+            return np.maximum((q * q).sum(1)[:, None] + (i * i).sum(1)[None, :] - 2.0 * (q @ i.T), 0.0)
         dots = q @ i.T
         if self.weight:
             known = qa != ""
             dots = dots + self.weight**2 * ((qa[:, None] == ia[None, :]) & known[:, None])
         return -np.round(dots / (self.norms(q, qa != "")[:, None] * self.norms(i, ia != "")[None, :]), DIGITS)
 
+    def best(self, q, qa, i, ia, fetch: int, allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query and index positions of the ``fetch`` lowest costs per query, and those costs.
+
+        The product form of the squared distance loses digits when norms are large against
+        distances. It only makes a short list, around a common centre and with a
+        margin above its rounding error; the list is scored again from the differences.
+        """
+        if self.metric != "euclidean":
+            cost = self.cost(q, qa, i, ia)
+            cost = cost if allowed is None else np.where(allowed, cost, np.inf)
+            r, c = _top(cost, fetch)
+            return r, c, cost[r, c]
+        centre = i.mean(axis=0)
+        a, b = q - centre, i - centre
+        rough = self.cost(a, qa, b, ia)
+        margin = 8 * q.shape[1] * np.finfo(float).eps * (np.sqrt((a * a).sum(1)) + np.sqrt((b * b).sum(1)).max()) ** 2
+        if allowed is not None:
+            rough = np.where(allowed, rough, np.inf)
+        k = min(fetch, rough.shape[1])
+        limit = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * margin + 2 * 10.0**-DIGITS
+        r, c = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
+        exact = np.concatenate([((q[r[s : s + 65536]] - i[c[s : s + 65536]]) ** 2).sum(1) for s in range(0, len(r), 65536)] or [np.zeros(0)])
+        exact = np.round(exact, DIGITS)
+        order = np.lexsort((c, exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        return r[keep], c[keep], exact[keep]
+
     def to_pivots(self, x: np.ndarray, anchored: np.ndarray, pivots: np.ndarray) -> np.ndarray:
         """Distance (or angle) to each pivot, the pivot taken under the row's own anchor."""
         if self.metric == "euclidean":
-            d = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * (x @ pivots.T)
-            return np.sqrt(np.maximum(d, 0.0))
+            # From the differences, pivot by pivot: bounds need every digit.
+            return np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], axis=1)
         w2 = (self.weight**2 * anchored)[:, None]
         length = np.sqrt((pivots * pivots).sum(1)[None, :] + w2)
         cos = (x @ pivots.T + w2) / (self.norms(x, anchored)[:, None] * np.where(length == 0, 1.0, length))
@@ -90,7 +117,7 @@ class _Geometry:
 
     def best_cost(self, distance: np.ndarray, radius: np.ndarray) -> np.ndarray:
         """Lowest cost any row within ``radius`` of a pivot can have."""
-        gap = np.maximum(distance - radius, 0.0)
+        gap = np.maximum(distance - radius - 1e-9 * distance, 0.0)
         return gap**2 if self.metric == "euclidean" else -np.cos(gap)
 
 
@@ -124,15 +151,16 @@ def _block_search(geometry: _Geometry, fetch: int, timed: bool, cross: bool, fir
         for a in range(0, len(queries), 1024):
             part = queries.iloc[a : a + 1024]
             qa = part["_anchor"].to_numpy()
-            cost = geometry.cost(_matrix(part["_vec"]), qa, i, ia)
+            allowed = None
             if timed:
-                cost = np.where(it[None, :] < part["_time"].to_numpy()[:, None], cost, np.inf)
+                allowed = it[None, :] < part["_time"].to_numpy()[:, None]
             if cross:
-                cost = np.where(qa[:, None] != ia[None, :], cost, np.inf)
-            r, c = _top(cost, fetch)
+                other = qa[:, None] != ia[None, :]
+                allowed = other if allowed is None else allowed & other
+            r, c, cost = geometry.best(_matrix(part["_vec"]), qa, i, ia, fetch, allowed)
             q1, q2 = part["_q1"].to_numpy(), part["_q2"].to_numpy()
             out.append(
-                pd.DataFrame(dict(zip(columns, (q1[r], q2[r], i1[c], i2[c], cost[r, c], first[c], m[c]))))
+                pd.DataFrame(dict(zip(columns, (q1[r], q2[r], i1[c], i2[c], cost, first[c], m[c]))))
             )
         return pd.concat(out)
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from remitlens.constants import LATENCY_BUCKETS
 
@@ -32,6 +33,27 @@ def request_metrics(
     )
 
 
+def write_latest(metrics: DataFrame, path: str, state: str) -> StreamingQuery:
+    """Write what each batch changed, open windows included, to a folder of its own.
+
+    A batch that runs again replaces its folder; ``latest`` reads the newest row of every window.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch-{number}")
+
+    return metrics.writeStream.foreachBatch(put).option("checkpointLocation", state).outputMode("update").trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """Newest row per window and endpoint (and status) of the folders that ``write_latest`` made."""
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    keys = [c for c in ("window_start", "endpoint", "status") if c in rows.columns]
+    others = [c for c in rows.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max(F.struct("batch", *[c for c in others if c != "batch"])).alias("last"))
+    return newest.select(*keys, *[F.col(f"last.{c}") for c in others if c != "batch"])
+
+
 def bucket_rows(metrics: DataFrame) -> DataFrame:
     """Long form of the buckets, with the unbounded one last."""
     keys = [c for c in ("window_start", "endpoint", "status") if c in metrics.columns]
