@@ -13,6 +13,7 @@ writer, so a lost executor leaves neither gaps nor repeats, in any store Spark r
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -32,7 +33,7 @@ from remitlens.session import shuffle_width
 BLOCK_IDS = 1 << 16
 END_ID = 0
 #: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
 
 FILE_SCHEMA = "shard int, block int, first_id long, n_ids long, bits int, payload binary, docs array<long>, ends array<long>"
 
@@ -97,6 +98,8 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        # Spark's tasks are the threads; the library reads this when it first encodes.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
