@@ -1,12 +1,11 @@
-"""Models, attribution, cross-validation and sweeps (M, X3, L10). Rows-only: fitting has no SQL twin.
-
-Tree counts here are smaller than the operators' defaults so that the whole set
-runs in minutes; the rows are whole tables.
-"""
+"""Models, attribution, cross-validation and sweeps (M, X3, L10). Rows-only: fitting has no SQL twin."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.catalog.claims import SEED, labeled_claims, table, with_labeled
@@ -22,9 +21,6 @@ from remitlens.operators import support as sp
 from remitlens.session import stage
 from remitlens.sources.tables import scratch_path, write_parquet
 
-TREES = 20
-
-
 _structured: dict = {}
 
 
@@ -51,13 +47,18 @@ def _record(rows, model: str, phase: str):
     return evaluate.evaluate(rows.withColumn("phase", F.lit(phase)).withColumn("model", F.lit(model)), "denied", "prob")
 
 
+def _balanced(train):
+    """Training rows with the rarer class filled up by interpolation."""
+    arrays = train.select("claim_id", "denied", vector_to_array("structured").alias("x"))
+    return stage(sampling.smote(arrays, "denied", "claim_id", "x", seed=SEED).select("denied", array_to_vector("x").alias("structured")), "balanced")
+
+
 @query("logistic_elimination", "M1 M2 X4")
 def logistic_elimination(spark, sf):
     """Oversampled training claims, features eliminated down to 15, test metrics."""
     train, test = structured(spark, sf)
     n = len(train_encoder(spark, sf)[0].feature_names)
-    arrays = train.select("claim_id", "denied", vector_to_array("structured").alias("x"))
-    balanced = stage(sampling.smote(arrays, "denied", "claim_id", "x", seed=SEED).select("denied", array_to_vector("x").alias("structured")), "balanced")
+    balanced = _balanced(train)
     kept, model = models.recursive_elimination(balanced, n, 15, "structured")
     return _record(models.score(model, test), f"logreg-{len(kept)}", "phase1")
 
@@ -65,25 +66,25 @@ def logistic_elimination(spark, sf):
 @query("decision_tree", "M3")
 def decision_tree(spark, sf):
     train, test = structured(spark, sf)
-    return _record(models.score(models.decision_tree("structured").fit(train), test), "decision-tree", "phase1")
+    return _record(models.score(models.decision_tree("structured").fit(_balanced(train)), test), "decision-tree", "phase1")
 
 
 @query("gradient_boosting", "M4")
 def gradient_boosting(spark, sf):
-    train, test = structured(spark, sf)
-    return _record(models.score(models.gradient_boosting("structured", trees=TREES).fit(train), test), "gradient-boosting", "phase2")
+    model, test, _ = _boosted(spark, sf)
+    return _record(models.score(model, test), "gradient-boosting", "phase2")
 
 
 @query("random_forest", "M5")
 def random_forest(spark, sf):
     train, test = structured(spark, sf)
-    return _record(models.score(models.random_forest("structured", trees=TREES).fit(train), test), "random-forest", "phase2")
+    return _record(models.score(models.random_forest("structured").fit(train), test), "random-forest", "phase2")
 
 
 @query("weighted_boosting", "M6")
 def weighted_boosting(spark, sf):
     train, test = structured(spark, sf)
-    learner = models.regularised_boosting("structured", trees=TREES, depth=4, rate=0.05, weight="weight")
+    learner = models.regularised_boosting("structured", trees=200, depth=4, rate=0.05, weight="weight")
     return _record(models.score(learner.fit(models.class_weight(train)), test), "weighted-boosting", "phase4")
 
 
@@ -93,7 +94,7 @@ def feature_ladder(spark, sf):
     train, test = _with_retrieval(spark, sf)
     rows = models.ladder(
         train, test, {"structured": ["structured"], "structured+retrieval": ["structured", "retrieval"]},
-        lambda x: models.regularised_boosting(x, trees=TREES),
+        models.regularised_boosting,
     )
     return models.with_lifts(evaluate.evaluate(stage(rows, "ladder"), "denied", "prob"), "structured")
 
@@ -113,7 +114,7 @@ def note_ladder(spark, sf):
     rows = models.ladder(
         full.where("fold > 0"), full.where("fold = 0"),
         {"structured": ["structured"], "text": ["note"], "structured+text": ["structured", "note"], "structured+blank": ["structured", "blank"]},
-        lambda x: models.regularised_boosting(x, trees=10), id_col="doc_id", phase="phase3",
+        models.regularised_boosting, id_col="doc_id", phase="phase3",
     )
     return models.with_lifts(evaluate.evaluate(stage(rows, "ladder"), "denied", "prob"), "structured")
 
@@ -134,9 +135,16 @@ def linear_attribution(spark, sf):
     return ft.rank_importance(long, top=len(names)).select("feature", r6("mean_abs"))
 
 
+_fitted: dict = {}
+
+
 def _boosted(spark, sf):
+    """The boosted model (fitted once per session), the test claims and the feature names."""
+    key = (spark.sparkContext.applicationId, sf)
     train, test = structured(spark, sf)
-    return models.gradient_boosting("structured", trees=TREES).fit(train), test, train_encoder(spark, sf)[0].feature_names
+    if key not in _fitted:
+        _fitted[key] = models.gradient_boosting("structured").fit(train)
+    return _fitted[key], test, train_encoder(spark, sf)[0].feature_names
 
 
 @query("tree_attribution", "M9 F7")
@@ -172,10 +180,11 @@ def batch_scoring(spark, sf):
 
 @query("cross_validated_logistic", "X3 E14 M1")
 def cross_validated_logistic(spark, sf):
+    """Oversampling and elimination see the training rows of a fold only."""
     train, _ = structured(spark, sf)
     folded = stage(sampling.stratified_folds(train, "denied", "claim_id", seed=SEED), "folds")
-    n = folded.count()
-    per_fold = models.cross_validate(folded, lambda: models.logistic_regression(n * 4 // 5, "structured", max_iter=100), name="logreg")
+    n = len(train_encoder(spark, sf)[0].feature_names)
+    per_fold = models.cross_validate(folded, lambda: models.Elimination(n, 15, "structured"), prepare=_balanced, name="logreg")
     return models.cross_validated_score(per_fold)
 
 
@@ -190,8 +199,8 @@ def noise_sweep(spark, sf):
     noisy = stage(rules.noise_levels_table(labeled_claims(spark, sf), NOISE_LEVELS, seed=SEED).select("claim_id", "label_noise", "denied"), "noise")
     hits = {s: stage(claim_neighbours(spark, sf, s).select("query_id", "rank", "neighbour_id", "similarity", "billed_amount"), "hits") for s in ("train", "test")}
     claims = stage(labeled_claims(spark, sf).select("claim_id", "billed_amount", "split"), "amounts")
-    out = None
-    for level in NOISE_LEVELS:
+
+    def rung(level):
         y = noisy.where(F.col("label_noise") == level).select("claim_id", "denied")
         sets = []
         for df, split in ((train, "train"), (test, "test")):
@@ -199,11 +208,12 @@ def noise_sweep(spark, sf):
             feats = rt.neighbour_features(claims.where(F.col("split") == split), seen)
             vec = feats.select("claim_id", array_to_vector(F.array(*rt.RETRIEVAL_FEATURES)).alias("retrieval"))
             sets.append(stage(df.drop("denied").join(y, "claim_id").join(vec, "claim_id"), "noisy"))
-        rows = models.ladder(
-            *sets, {"structured": ["structured"], "augmented": ["structured", "retrieval"]}, lambda x: models.regularised_boosting(x, trees=5),
+        return models.ladder(
+            *sets, {"structured": ["structured"], "augmented": ["structured", "retrieval"]}, models.regularised_boosting,
             phase=str(level), keep=["true_denial_prob"],
         )
-        out = rows if out is None else out.unionByName(rows)
+
+    out = reduce(DataFrame.unionByName, models.fit_all([lambda x=x: rung(x) for x in NOISE_LEVELS]))
     rows = stage(out, "sweep")
     ceiling = rows.where("model = 'structured'").select("phase", F.lit("ceiling").alias("model"), "denied", F.col("true_denial_prob").alias("prob"))
     result = evaluate.evaluate(rows.select("phase", "model", "denied", "prob").unionByName(ceiling), "denied", "prob")

@@ -44,7 +44,7 @@ def csv_source(spark, sf):
     docs = table(spark, sf, "documents")
     path = src.scratch_path(spark, "notes-csv")
     src.write_csv(docs.select("doc_id", F.concat(F.lit("  "), "source", F.lit(" ")).alias("source"), "lang", "text"), path)
-    back = src.read_csv(spark, path, "doc_id bigint, source string, lang string, text string", trim=["source"])
+    back = src.read_csv(spark, path, "doc_id bigint, source string, lang string, text string", trim=["source"], multiline=True)
     return back.select("doc_id", "source", "lang", F.length("text").alias("n"), F.md5("text").alias("digest"))
 
 

@@ -15,7 +15,18 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"
 SENTENCE = r"[^.!?]+[.!?]*"
 
 
-def tokens(text, stop_words: Sequence[str] = STOP_WORDS) -> Column:
+def stop_list(words: Sequence[str] | str) -> list[str]:
+    """A stop list given as words, or by the name of one of Spark's own lists ("english", ...)."""
+    if isinstance(words, str):
+        from pyspark.ml.feature import StopWordsRemover
+
+        return list(StopWordsRemover.loadDefaultStopWords(words))
+    return list(words)
+
+
+def tokens(text, stop_words: Sequence[str] | str = STOP_WORDS) -> Column:
+    """Tokens of a text without stop words (a list, or the name of one)."""
+    stop_words = stop_list(stop_words)
     t = F.col(text) if isinstance(text, str) else text
     found = F.regexp_extract_all(F.lower(t), F.lit(TOKEN), F.lit(0))
     return F.filter(found, lambda w: ~w.isin(list(stop_words))) if stop_words else found
@@ -29,7 +40,7 @@ def bigrams(words: Column) -> Column:
 
 
 def with_terms(
-    df: DataFrame, text: str, ngrams: tuple[int, int] = (1, 1), stop_words: Sequence[str] = STOP_WORDS, out: str = "terms"
+    df: DataFrame, text: str, ngrams: tuple[int, int] = (1, 1), stop_words: Sequence[str] | str = STOP_WORDS, out: str = "terms"
 ) -> DataFrame:
     """Add the uni- and/or bigrams of a text; bigrams are formed after stop words are gone.
 

@@ -15,6 +15,8 @@ from remitlens.session import stage
 
 CLASSES = ["complete", "omitted", "unsupported"]
 SMALL = 1e-9
+#: Requirement vectors that may be broadcast.
+MAX_REQUIREMENTS = 10_000
 POLICY_SCHEMA = "policy_id string, family string, source string, requirements array<struct<req_id:string,text:string>>"
 
 
@@ -95,7 +97,12 @@ def best_matches(
     )
     listed = cases.select("case_id", text_key("requirement_text").alias("q_key"), F.inline(sides))
     pairs = listed.select("case_id", "side", "q_key", F.posexplode("chunks").alias("pos", "chunk")).withColumn("c_key", text_key("chunk"))
-    q = vectors.select(F.col("text_key").alias("q_key"), asked(F.col("vec")).alias("q_vec"))
+    vectors = stage(vectors, "vectors")
+    wanted = cases.select(text_key("requirement_text").alias("text_key")).distinct()
+    q = stage(vectors.join(wanted, "text_key", "left_semi"), "requirements").select(F.col("text_key").alias("q_key"), asked(F.col("vec")).alias("q_vec"))
+    if q.count() <= MAX_REQUIREMENTS:
+        # A few keys over all cases: the checked table goes to the cases, not the cases to a few tasks.
+        q = F.broadcast(q)
     c = vectors.select(F.col("text_key").alias("c_key"), F.col("vec").alias("c_vec"))
     scored = pairs.join(c, "c_key", "left").join(q, "q_key", "left").select(
         "case_id", "side", "pos", "chunk", F.round(similarity(F.col("q_vec"), F.col("c_vec")), 9).alias("score")
@@ -129,11 +136,13 @@ def classify_cases(cases: DataFrame, matches: DataFrame, threshold: float) -> Da
     )
 
 
-def classify_lexical(cases: DataFrame, threshold: float = LEXICAL_THRESHOLD, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+def classify_lexical(cases: DataFrame, threshold: float = LEXICAL_THRESHOLD, stop_words: Sequence[str] | str = STOP_WORDS) -> DataFrame:
+    cases = stage(cases, "cases")
     return classify_cases(cases, best_matches(cases, lexical_vectors(cases, stop_words), _sparse_dot, F.map_from_entries), threshold)
 
 
 def classify_dense(cases: DataFrame, threshold: float = DENSE_THRESHOLD, encode=None) -> DataFrame:
+    cases = stage(cases, "cases")
     return classify_cases(cases, best_matches(cases, dense_vectors(cases, encode), _dense_dot), threshold)
 
 

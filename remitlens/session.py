@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
+_scope = threading.local()
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "remitlens") -> SparkSession:
@@ -51,11 +55,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     repeating the joins behind ``df``, and survive lost executors.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{getattr(_scope, 'path', None) or staging_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside go to a folder of their own, which is removed at the end.
+
+    For jobs whose result has left by then, such as a micro-batch that was written out.
+    """
+    outer = getattr(_scope, "path", None)
+    _scope.path = f"{staging_root(spark)}/scope-{uuid.uuid4().hex}"
+    try:
+        yield
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scope.path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _scope.path = outer
+
+
 def small_rows(df: DataFrame, limit: int, what: str) -> list:
     """Collect at most ``limit`` rows; more is an error, not a truncation."""
     rows = df.take(limit + 1)
