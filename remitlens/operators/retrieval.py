@@ -27,7 +27,6 @@ from remitlens.session import small_rows, stage
 MAX_PIVOTS = 1024
 SLACK = 1e-6
 DIGITS = 9
-QUERY_COLS = "_q1 long, _q2 long, _vec array<double>, _anchor string, _time long"
 INDEX_COLS = ["_i1", "_i2", "_vec", "_anchor", "_time", "_first", "_m"]
 
 
@@ -472,11 +471,13 @@ def _search(queries: DataFrame, index: VectorIndex, fetch: int, probes: int | No
             if probes is None and geometry.metric == "cosine":
                 go |= open_ & ~x.any(axis=1)[:, None]
             r, c = np.nonzero(go)
-            yield pdf[["_q1", "_q2", "_vec", "_anchor", "_time"]].iloc[r].assign(_home=c.astype(np.int32))
+            yield pdf[["_q1", "_q2"]].iloc[r].assign(_home=c.astype(np.int32))
 
     hits = home
     for cross in ([False] if n > 1 else []) + ([True] if index.anchored and probes is None else []):
-        trip = stage(waiting.mapInPandas(lambda b, cross=cross: visits(b, cross), f"{QUERY_COLS}, _home int"), "visits")
+        # Only keys are written per visit; the vector joins them again.
+        trip = stage(waiting.mapInPandas(lambda b, cross=cross: visits(b, cross), "_q1 long, _q2 long, _home int"), "visits")
+        trip = trip.join(q.select("_q1", "_q2", "_vec", "_anchor", "_time"), ["_q1", "_q2"])
         search, schema = _block_search(geometry, fetch, index.timed, cross, index.id_type)
         hits = hits.unionByName(_block_join(trip, i, ["_home"] if cross else ["_anchor", "_home"], index.block, search, schema))
     return _best(hits, fetch)
