@@ -104,14 +104,19 @@ def metrics_append(spark, sf):
     result = _two_runs(spark, sf)
     for run in ("a", "b"):
         src.append_metrics(src.metrics_long(run, result, evaluate.METRICS), path)
-    src.write_metrics_json(src.read_parquet(spark, path), src.scratch_path(spark, "metrics-json"))
-    return src.read_parquet(spark, path).select("run", F.col("phase").cast("string").alias("phase"), "model", "metric", r6("value"))
+    documents = src.scratch_path(spark, "metrics-json")
+    src.write_metrics_json(src.read_parquet(spark, path), documents)
+    return src.read_metrics_json(spark, documents).select("run", F.col("phase").cast("string").alias("phase"), "model", "metric", r6("value"))
 
 
-@query("run_search", "S5", with_labeled(f"SELECT 'a' AS run, phase, model, {s6('auroc', 'auroc')}, {s6('f1', 'f1')}, n_samples::DOUBLE AS n_samples FROM ev", RUN_SQL))
+@query("run_search", "S5", with_labeled(f"SELECT run, phase, model, {s6('auroc', 'auroc')}, {s6('f1', 'f1')}, n_samples::DOUBLE AS n_samples FROM ev, (VALUES ('a'), ('b')) runs(run)", RUN_SQL))
 def run_search(spark, sf):
-    runs = src.metrics_long("a", _two_runs(spark, sf), evaluate.METRICS)
-    wide = src.search_runs(runs, evaluate.METRICS)
+    """Two stored runs, searched in the metrics table."""
+    path = src.scratch_path(spark, "runs")
+    result = _two_runs(spark, sf)
+    for run in ("a", "b"):
+        src.append_metrics(src.metrics_long(run, result, evaluate.METRICS), path)
+    wide = src.search_runs(src.read_parquet(spark, path), evaluate.METRICS)
     return wide.select("run", "phase", "model", r6("auroc"), r6("f1"), "n_samples")
 
 

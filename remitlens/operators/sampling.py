@@ -87,8 +87,6 @@ def stratified_folds(df: DataFrame, label: str, id_col: str, folds: int = 5, see
 
 def subsample(df: DataFrame, n: int, id_col: str, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
     """``n`` rows without replacement (per stratum when ``by`` is given)."""
-    if not by and n <= SMALL_SAMPLE:
-        return df.orderBy(hash_key(id_col, f"{seed}:sample"), F.col(id_col)).limit(n)
     ranked = rank_by_hash(df, id_col, f"{seed}:sample", group=by, out="_rank")
     return ranked.where(F.col("_rank") <= n).drop("_rank")
 

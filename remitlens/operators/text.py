@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from remitlens.constants import STOP_WORDS
-from remitlens.functions.text import flagged, text_key, tokens, with_terms
+from remitlens.functions.text import flagged, stop_list, text_key, tokens, with_terms
+from remitlens.session import small_rows
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -54,38 +55,42 @@ def tfidf_weights(
 ) -> DataFrame:
     """Unit-length TF-IDF weights, one row per (id, term).
 
-    ``bounded`` says the vocabulary was cut to a fixed size and may be broadcast.
+    ``bounded`` says the vocabulary was cut to a fixed size and may be broadcast. Further
+    columns of the vocabulary are carried along.
     """
-    vocab = vocabulary.select("term", "idf")
+    more = [c for c in vocabulary.columns if c not in ("term", "idf", "doc_freq", "total")]
+    vocab = vocabulary.select("term", "idf", *more)
     counts = (
         with_terms(df.select(id_col, text), text, ngrams, stop_words)
         .select(id_col, F.explode("terms").alias("term"))
         .join(F.broadcast(vocab) if bounded else vocab, "term")
-        .groupBy(id_col, "term")
+        .groupBy(id_col, "term", *more)
         .agg((F.count("*") * F.first("idf")).alias("w"))
     )
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return counts.select(id_col, "term", (F.col("w") / norm).alias("weight"))
+    return counts.select(id_col, "term", *more, (F.col("w") / norm).alias("weight"))
 
 
-def tfidf_vectors(df: DataFrame, id_col: str, weights: DataFrame, terms_in_order: Sequence[str], out: str = "text_features") -> DataFrame:
-    """Dense vector per row over a fixed, short vocabulary; zeros for a row without terms."""
-    slot = F.create_map(*[x for i, t in enumerate(terms_in_order) for x in (F.lit(t), F.lit(i))])
-    cells = weights.groupBy(id_col).agg(F.collect_list(F.struct(F.try_element_at(slot, F.col("term")).alias("i"), F.col("weight").alias("w"))).alias("_cells"))
-    width = len(terms_in_order)
+def tfidf_vectors(df: DataFrame, id_col: str, weights: DataFrame, width: int, out: str = "text_features") -> DataFrame:
+    """Vector per row over a fixed, short vocabulary; zeros for a row without terms.
+
+    ``weights`` has the term's ``slot`` below ``width``. Slots and weights reach NumPy as two
+    flat arrays per batch, which fill one matrix.
+    """
+    cells = weights.groupBy(id_col).agg(F.collect_list(F.struct("slot", "weight")).alias("_cells"))
+    cells = cells.select(id_col, F.col("_cells.slot").alias("_slots"), F.col("_cells.weight").alias("_weights"))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def spread(cells: pd.Series) -> pd.Series:
-        out = []
-        for row in cells:
-            v = np.zeros(width)
-            if row is not None:
-                for cell in row:
-                    v[cell["i"]] = cell["w"]
-            out.append(v)
-        return pd.Series(out)
+    def spread(slots: pd.Series, values: pd.Series) -> pd.Series:
+        matrix = np.zeros((len(slots), width))
+        held = slots.notna().to_numpy()
+        if held.any():
+            rows = np.repeat(np.flatnonzero(held), slots[held].map(len).to_numpy())
+            matrix[rows, np.concatenate(slots[held].to_numpy()).astype(np.int64)] = np.concatenate(values[held].to_numpy())
+        return pd.Series(list(matrix), index=slots.index)
 
-    return df.join(cells, id_col, "left").withColumn(out, array_to_vector(spread("_cells"))).drop("_cells")
+    vector = array_to_vector(spread("_slots", "_weights"))
+    return df.join(cells, id_col, "left").withColumn(out, vector).drop("_slots", "_weights")
 
 
 class TfidfEncoder:
@@ -93,8 +98,10 @@ class TfidfEncoder:
 
     name = "tfidf"
 
-    def __init__(self, max_features: int = 400, ngrams: tuple[int, int] = (1, 2), min_df: int = 5, stop_words: Sequence[str] = STOP_WORDS):
-        self.options = {"ngrams": ngrams, "stop_words": tuple(stop_words)}
+    def __init__(self, max_features: int = 400, ngrams: tuple[int, int] = (1, 2), min_df: int = 5, stop_words: Sequence[str] | str = STOP_WORDS):
+        if not max_features:
+            raise ValueError("an encoder needs max_features: its vectors are as wide")
+        self.options = {"ngrams": ngrams, "stop_words": tuple(stop_list(stop_words))}
         self.max_features, self.min_df = max_features, min_df
         self.rows: list[tuple[str, float]] = []
 
@@ -104,13 +111,13 @@ class TfidfEncoder:
 
     def fit(self, notes: DataFrame, text: str) -> "TfidfEncoder":
         table = term_table(notes, text, min_df=self.min_df, max_features=self.max_features, **self.options)
-        self.rows = sorted((r["term"], r["idf"]) for r in table.collect())  # at most max_features rows
+        self.rows = sorted((r["term"], r["idf"]) for r in small_rows(table, self.max_features, "terms"))
         return self
 
     def transform(self, notes: DataFrame, id_col: str, text: str, out: str = "text_features") -> DataFrame:
-        vocab = notes.sparkSession.createDataFrame(self.rows, "term string, idf double")
+        vocab = notes.sparkSession.createDataFrame([(t, w, i) for i, (t, w) in enumerate(self.rows)], "term string, idf double, slot int")
         weights = tfidf_weights(notes, id_col, text, vocab, bounded=True, **self.options)
-        return tfidf_vectors(notes, id_col, weights, [t for t, _ in self.rows], out)
+        return tfidf_vectors(notes, id_col, weights, self.dim, out)
 
 
 def encode_notes(df: DataFrame, id_col: str, text: str, load: Callable[[], Encoder], batch: int = 32, out: str = "vector") -> DataFrame:
@@ -141,12 +148,12 @@ def hashed_vectors(df: DataFrame, text: str, dim: int = 256, out: str = "vector"
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def count(slots: pd.Series) -> pd.Series:
-        rows = []
-        for s in slots:
-            v = np.bincount(np.asarray(s, dtype=np.int64), minlength=dim).astype(np.float64) if s is not None and len(s) else np.zeros(dim)
-            n = np.sqrt((v * v).sum())
-            rows.append(v / n if n else v)
-        return pd.Series(rows)
+        held = slots.notna().to_numpy()
+        flat = np.concatenate([np.zeros(0, np.int64), *slots[held].to_numpy()]).astype(np.int64)
+        rows = np.repeat(np.flatnonzero(held), slots[held].map(len).to_numpy(np.int64))
+        matrix = np.bincount(rows * dim + flat, minlength=len(slots) * dim).reshape(len(slots), dim).astype(np.float64)
+        norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+        return pd.Series(list(matrix / np.where(norms == 0, 1.0, norms)), index=slots.index)
 
     return df.withColumn(out, count(buckets))
 
