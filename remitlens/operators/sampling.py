@@ -31,7 +31,7 @@ class TemporalCut:
     def is_train(self) -> Column:
         if self.day is None:
             return F.lit(False)
-        d, k = F.col(self.date_col), hash_key(self.id_col, f"{self.seed}:cut")
+        d, k = F.to_date(self.date_col), hash_key(self.id_col, f"{self.seed}:cut")
         i = F.col(self.id_col).cast("string")
         at_cut = (k < self.key) | ((k == self.key) & (i <= F.lit(self.row_id)))
         return (d < F.lit(self.day)) | ((d == F.lit(self.day)) & at_cut)
@@ -43,15 +43,15 @@ class TemporalCut:
 def fit_temporal_cut(
     df: DataFrame, date_col: str = "submission_date", id_col: str = "claim_id", test_frac: float = 0.25, seed: int = 42
 ) -> TemporalCut:
-    """Find the row that ends the earliest ``1 - test_frac`` of the table.
+    """Find the row that ends the earliest ``1 - test_frac`` of the table; timestamps count by their day.
 
     Rows per day are a small table. Only the day the cut falls on needs an order
     among its rows: by digest, narrowed digit by digit, so a day holding most of
     the table costs a few counts and never a sort.
     """
     days = sorted(
-        (r[date_col], r["n"])
-        for r in small_rows(df.groupBy(date_col).agg(F.count("*").alias("n")), MAX_DAYS, "distinct days")
+        (r["day"], r["n"])
+        for r in small_rows(df.groupBy(F.to_date(date_col).alias("day")).agg(F.count("*").alias("n")), MAX_DAYS, "distinct days")
     )
     left = int(sum(n for _, n in days) * (1 - test_frac))
     if left == 0:
@@ -60,7 +60,7 @@ def fit_temporal_cut(
         if left <= n:
             break
         left -= n
-    rows = df.where(F.col(date_col) == F.lit(day)).select(
+    rows = df.where(F.to_date(date_col) == F.lit(day)).select(
         hash_key(id_col, f"{seed}:cut").alias("k"), F.col(id_col).cast("string").alias("i")
     )
     low, width, size = 0, 1 << KEY_BITS, n

@@ -72,3 +72,11 @@ def test_scope_removes_what_it_staged(spark):
         assert inner.count() == 3
     assert not [d for d in os.listdir(staging_root(spark).removeprefix("file:")) if d.startswith("scope-")]
     assert stage(spark.range(2), "outside").count() == 2
+
+
+def test_temporal_cut_takes_timestamps(spark):
+    from remitlens.operators.sampling import fit_temporal_cut
+
+    df = spark.range(400).select(F.col("id").cast("string").alias("claim_id"), F.timestamp_seconds(F.col("id") * 3600).alias("submission_date"))
+    counts = {r.split: r["count"] for r in fit_temporal_cut(df).apply(df).groupBy("split").count().collect()}
+    assert counts == {"train": 300, "test": 100}
