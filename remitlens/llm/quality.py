@@ -70,18 +70,18 @@ def text_statistics(text: str) -> list[float]:
     ]
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and the STATISTICS of every row's whole text (null counts as empty)."""
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, ``keep`` and the STATISTICS of every row's whole text (null counts as empty)."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = part.column(1)
+            texts = part.column(part.num_columns - 1)
             table = np.array([text_statistics(texts[i].as_py()) for i in range(len(texts))], float).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(c)) for c in table.T)], names=["id", *STATISTICS])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(np.ascontiguousarray(c)) for c in table.T)], names=[*part.schema.names[:-1], *STATISTICS])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, " + ", ".join(f"{s} double" for s in STATISTICS)
-    return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(batches, schema)
+    source = docs.select(F.col(id_col).alias("id"), *keep, text_of(text_col).alias("_text"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
+    return source.mapInArrow(batches, ", ".join([*kinds, *(f"{s} double" for s in STATISTICS)]))
 
 
 #: A condition (statistic, is_below, threshold); a rule holds where all its conditions do.
@@ -159,17 +159,17 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """Score every row of ``docs``: id_col, held_out, score, predicted (1 if score >= cut).
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3, fit_rows: int = FIT_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Score every row of ``docs``: id_col, ``keep``, held_out, score, predicted (1 if score >= cut).
 
     ``labels`` has id_col and quality. A document with several labels counts with the
     largest; labels of unknown ids, null labels and null ids teach nothing. Null and
     empty texts are scored like any other. Without labels of both classes every score is
     the smoothed share of ones. Other columns are not read; an empty table gives no rows.
     """
-    stats = stage(statistics(docs, id_col, text_col), "quality-statistics")
+    stats = stage(statistics(docs, id_col, text_col, keep), "quality-statistics")
     known = labels.groupBy(F.col(id_col).alias("id")).agg(F.max("quality").alias("label"))
     teaching = stats.filter(~held_out("id")).dropDuplicates(["id"]).join(known, "id")
     model = fit_rules(teaching, fit_rows)
-    scored = stats.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), model.score().alias("score"))
+    scored = stats.select(F.col("id").alias(id_col), *keep, held_out("id").alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= cut).cast("int"))
