@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.llm.common import stage, text_of
+from remitlens.session import shuffle_width
 
 MARK = "▁"
 CHUNK_CHARS = 16_384
@@ -290,7 +291,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     cut = stage(cut, "pieces-chunks")
     spread = cut.repartition(F.xxhash64("row", "chunk"))
     matrices = stage(spread.mapInArrow(_matrices(model_path), f"id {kind}, row long, chunk int, {_MATRIX}"), "pieces-matrices")
-    resolved = matrices.select("row", "chunk", "entries", "exits", "scores").groupBy("row").applyInPandas(_resolved, "row long, chunk int, enter int, leave int")
+    # Matrices are few bytes but much work: dealt to all tasks whatever their size.
+    narrow = matrices.select("row", "chunk", "entries", "exits", "scores").repartition(shuffle_width(docs.sparkSession), "row")
+    resolved = narrow.groupBy("row").applyInPandas(_resolved, "row long, chunk int, enter int, leave int")
     met = matrices.join(resolved, ["row", "chunk"])
     ids = F.when(F.col("middle").isNull(), F.get("heads", F.col("enter") * F.size("exits") + F.col("leave"))).otherwise(
         F.concat(F.get("heads", "enter"), F.coalesce("middle", F.array().cast("array<int>")), F.get("tails", "leave"))
