@@ -6,6 +6,7 @@ rotations gives one cell per vector; a query visits the ``probes`` cells of each
 whose axes are nearest to it. All vectors that share a visited cell are scored exactly.
 Where a table of 2 * d cells would leave more than ``occupancy`` vectors a cell, a second
 polytope over the first coordinates of another rotation refines it, by as many axes as needed.
+Finer cells separate more neighbours, so every doubling of the axes adds half of ``probes`` to the visits.
 
 Equal vectors are one class, so copies cost one entry. Cells are cut into blocks on both
 sides, and a task holds one block of vectors and one of queries: a hot cell is many
@@ -139,6 +140,11 @@ def _scored(dim: int, keep: int):
     return run
 
 
+def visited(probes: int, fine: int) -> int:
+    """Cells a query visits in each table when they are refined by ``fine`` axes."""
+    return probes + -(-probes // 2) * fine.bit_length()
+
+
 def usable(vector: Column) -> Column:
     """Vectors that take part: not null, not empty, all components finite, not all zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
@@ -188,7 +194,7 @@ def nearest(
     kinds = stage(kinds.join(leaders.select("h1", "h2", "class"), ["h1", "h2"]), "ann-questions")
     entry = f"tab int, cell long, class long, vector {dict(vectors.dtypes)[vector_col]}"
     index = stage(leaders.select("class", "vector").mapInArrow(_hashed(hashes, 1), entry), "ann-index")
-    visits = stage(kinds.select("class", "vector").mapInArrow(_hashed(hashes, max(2, probes)), entry), "ann-visits")
+    visits = stage(kinds.select("class", "vector").mapInArrow(_hashed(hashes, max(2, visited(probes, fine))), entry), "ann-visits")
     held = index.groupBy("tab", "cell").agg(F.ceil(F.count("*") / BLOCK_VECTORS).alias("blocks"))
     asked = visits.groupBy("tab", "cell").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("parts"))
     plan = stage(held.join(asked, ["tab", "cell"]), "ann-plan")
