@@ -197,15 +197,28 @@ _VERDICT = """, au AS (SELECT which, auroc FROM (SELECT which, sum(pos * (before
    UNION ALL SELECT 'blurred', concat_ws('  ', CASE WHEN base - ceiling <= 0.005 THEN 'SIREN: no text lift — note signal not landing' END,
      CASE WHEN base > ceiling + 0.01 THEN 'SIREN: fused above oracle ceiling — leak' END, CASE WHEN low > 0 THEN 'WARN: lift 95% CI includes 0 — not statistically clear' END) FROM mx""", BOOT_SQL + _VERDICT))
 def health_verdict(spark, sf):
-    """Verdict on the rule taken as the fused model over the blurred score, and the other way round."""
-    lift = stage(evaluate.bootstrap_auroc_lift(_test(spark, sf), "claim_id", "denied", "blurred", "true_denial_prob", replicates=BOOT), "lift")
+    """Verdict on the rule taken as the fused model over the blurred score, and the other way round.
+
+    The interval is that of the usual 2000 replicates; blank_lift is the lift of note_ladder's blanked notes.
+    """
+    from remitlens.catalog.models import note_lifts
+
+    lift = bootstrap_lift_full(spark, sf)
+    ladder = note_lifts(spark, sf, ["structured", "structured+blank"])
+    return verdicts(lift, ladder)
+
+
+def verdicts(lift, ladder):
+    """Flags of both directions from one row of bootstrap lift and a ladder with the rung structured+blank."""
+    blank = ladder.where("model = 'structured+blank'").select(F.col("lift").alias("blank_lift"))
+    lift = stage(lift.crossJoin(blank), "lift")
     up = lift.select(
         F.lit("rule").alias("model"), F.col("lift_point").alias("text_lift"), F.col("auroc_better").alias("fused"), F.col("auroc_better").alias("ceiling"),
-        F.lit(0.0).alias("blank_lift"), F.col("lift_low").alias("lift_ci_low"),
+        "blank_lift", F.col("lift_low").alias("lift_ci_low"),
     )
     down = lift.select(
         F.lit("blurred").alias("model"), (-F.col("lift_point")).alias("text_lift"), F.col("auroc_base").alias("fused"), F.col("auroc_better").alias("ceiling"),
-        F.lit(0.0).alias("blank_lift"), (-F.col("lift_low")).alias("lift_ci_low"),
+        "blank_lift", (-F.col("lift_low")).alias("lift_ci_low"),
     )
     return evaluate.health_flags(up.unionByName(down)).select("model", F.array_join("flags", "  ").alias("flags"))
 

@@ -99,9 +99,11 @@ def feature_ladder(spark, sf):
     return models.with_lifts(evaluate.evaluate(stage(rows, "ladder"), "denied", "prob"), "structured")
 
 
-@query("note_ladder", "M8 T6 T7")
-def note_ladder(spark, sf):
-    """Note quality from document facts, from the text, from both, and from blanked notes."""
+NOTE_RUNGS = {"structured": ["structured"], "text": ["note"], "structured+text": ["structured", "note"], "structured+blank": ["structured", "blank"]}
+
+
+def note_lifts(spark, sf, rungs):
+    """Metrics and lifts of note quality on the named rungs."""
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(
         "doc_id", "text", F.col("quality").alias("denied"),
         array_to_vector(F.array(F.log1p("n_chars"), *[(F.col("lang") == x).cast("double") for x in ("en", "de", "fr", "es")])).alias("structured"),
@@ -113,12 +115,18 @@ def note_ladder(spark, sf):
     full = stage(noted.join(blank, "doc_id"), "notes")
     rows = models.ladder(
         full.where("fold > 0"), full.where("fold = 0"),
-        {"structured": ["structured"], "text": ["note"], "structured+text": ["structured", "note"], "structured+blank": ["structured", "blank"]},
+        {r: NOTE_RUNGS[r] for r in rungs},
         models.regularised_boosting, id_col="doc_id", phase="phase3",
     )
     return models.with_lifts(evaluate.evaluate(stage(rows, "ladder"), "denied", "prob"), "structured")
 
 
+@query("note_ladder", "M8 T6 T7")
+def note_ladder(spark, sf):
+    """Note quality from document facts, from the text, from both, and from blanked notes."""
+    return note_lifts(spark, sf, NOTE_RUNGS)
+
+
 _W = [round(0.1 * (i + 1), 1) for i in range(len(_FEATS))]
 
 
