@@ -11,15 +11,15 @@ from remitlens.llm.exact_dedup import deduplicated
 from remitlens.llm.mixing import mix
 from remitlens.llm.quality import quality_scores
 from remitlens.llm.sentencepiece_scan import decode, encode
-from remitlens.llm.shingles import similar_documents
+from remitlens.llm.simhash import near_duplicates
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a key per row: a digest of id and text, so that ids may be null or repeat.
+    """``docs`` with a key per row: a 128-bit digest of id and text, so that ids may be null or repeat.
 
     Rows that repeat both share a key, and with it every decision.
     """
-    return docs.withColumn("_row", F.xxhash64("doc_id", F.lit("text"), text_of("text")))
+    return docs.withColumn("_row", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(" "), text_of("text"))))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +35,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts whose five-word shingles have similarity 0.8 or more, the document with the smallest id stays; null ids come last."""
+    """Of each component of texts whose SimHash fingerprints link (3-word shingles, 2 bits), the document with the smallest id stays; null ids come last."""
     rows = keyed(docs)
-    groups = similar_documents(rows, id_col="_row")
+    groups = near_duplicates(rows, id_col="_row").select("_row", "component_id")
     named = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row").alias("name")).distinct()
     staying = groups.distinct().join(named, "_row").groupBy("component_id").agg(F.min("name")["_row"].alias("_row"))
     return rows.join(staying.select("_row"), "_row", "left_semi").select(*docs.columns)
