@@ -65,7 +65,7 @@ def test_stages_in_order(spark, sf, documents, tmp_path):
     roots = set(brute_components({n: fingerprint(r.text) for n, r in enumerate(rows)}).values())
     named = {n: (rows[n].doc_id, rows[n].text) for n in roots}
     got = [(r.doc_id, r.text) for r in apart.collect()]
-    assert len(got) == len(named) and sum(g in set(named.values()) for g in got) >= len(got) - 2
+    assert sorted(got, key=repr) == sorted(named.values(), key=repr)
     assert any(d is None for d, _ in got)
 
     mixed = staged(spark, tmp_path, stages["source mix"](spark, apart, sf), "mix")
