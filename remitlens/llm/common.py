@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from remitlens.session import stage, staging_root
 
-__all__ = ["stage", "staging_root", "text_of", "word_count", "attach", "buckets_for", "WHITE"]
+__all__ = ["stage", "staging_root", "text_of", "word_count", "attach", "buckets_for", "terms_of", "term_array", "WHITE"]
 
 #: The ASCII white space of the word and line rules: space and \x09-\x0D.
 WHITE = " \t\n\x0b\x0c\r"
@@ -28,6 +28,21 @@ def word_count(column: Column) -> Column:
     return F.regexp_count(column, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
+#: Terms are runs of ASCII letters and digits and of all characters beyond ASCII; A-Z count as a-z.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+
+
+def terms_of(text: bytes) -> list[bytes]:
+    """Terms of a UTF-8 text, in order, with repeats."""
+    return text.translate(_TERM_BYTES).split()
+
+
+def term_array(column: Column) -> Column:
+    """The same terms as an array column; null stays null."""
+    return F.regexp_extract_all(lower_ascii(column), F.lit(TERM), 0)
+
+
 def buckets_for(df: DataFrame, rows_per_bucket: int) -> int:
     """A number of hash buckets that follows the table's row count."""
     return max(1, -(-df.count() // rows_per_bucket))

@@ -101,7 +101,7 @@ def test_run_keeps_what_the_stages_keep(spark, sf):
 def test_every_operator_is_registered():
     queries, sql = entry.queries(), entry.oracle_sql()
     assert [n for n in queries if n.startswith("op")] == [n for n in QUERIES] and "pipeline" in queries
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE_SQL) <= set(sql) and corpus_pipeline.ORACLE_SQL is None
 
 
