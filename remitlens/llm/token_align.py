@@ -219,7 +219,7 @@ def _bucket_bits(keys: np.ndarray) -> tuple[list[int], np.ndarray]:
     """Levels of bits: a key's number is the rank of the bit it alone sets at its first level without a rival."""
     sizes, bits, level = [], [], 0
     while len(keys):
-        size = -(-int(_SPARE * len(keys)) // 64 + 1) * 64
+        size = (int(_SPARE * len(keys)) // 64 + 1) * 64
         at = (_mix(keys, level + 1) % np.uint64(size)).astype(np.int64)
         single = np.bincount(at, minlength=size) == 1
         sizes.append(size)
