@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.catalog.claims import SEED, labeled_claims, table, with_labeled
 from remitlens.catalog.features import _ENC, _FEATS, claim_neighbours, retrieval_features, train_encoder
-from remitlens.catalog.registry import query, r6
+from remitlens.catalog.registry import query, r6, s6
 from remitlens.constants import NOISE_LEVELS
 from remitlens.operators import attribution as at
-from remitlens.operators import evaluate, models, rules, sampling
+from remitlens.operators import boosting, evaluate, models, rules, sampling
 from remitlens.operators import features as ft
 from remitlens.operators import retrieval as rt
 from remitlens.operators import text as tx
@@ -196,33 +193,65 @@ def cross_validated_logistic(spark, sf):
     return models.cross_validated_score(per_fold)
 
 
+_STUMP_EDGES = [-1.0, -0.5, 0.0, 0.5, 1.0]
+
+
+@query("histogram_stump", "M6 L10", with_labeled(
+    f"""SELECT CAST(i AS INT) AS feature, {s6('edge', 'edge')}, {s6('gain', 'gain')}, {s6('-gl / (hl + 1)', 'left_weight')}, {s6('-(g - gl) / (h - hl + 1)', 'right_weight')} FROM (
+     SELECT *, 0.5::DOUBLE * (gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)) AS gain FROM sums WHERE hl >= 2 AND h - hl >= 2)
+     ORDER BY gain DESC, i, edge LIMIT 1""",
+    _ENC + f""", cells AS (SELECT denied, unnest(v) AS x, unnest(range(len(v))) AS i FROM enc WHERE split = 'train'),
+     sums AS (SELECT i, edge, sum(0.5::DOUBLE - denied) AS g, count(*) * 0.25::DOUBLE AS h, coalesce(sum(0.5::DOUBLE - denied) FILTER (x <= edge), 0) AS gl, count(*) FILTER (x <= edge) * 0.25::DOUBLE AS hl
+      FROM cells, (SELECT unnest({_STUMP_EDGES}::DOUBLE[]) AS edge) GROUP BY i, edge)"""))
+def histogram_stump(spark, sf):
+    """The first split of a boosted model over given bins: where, how good, and what its leaves weigh."""
+    train, _ = structured(spark, sf)
+    n = len(train_encoder(spark, sf)[0].feature_names)
+    rows = train.select(vector_to_array("structured").alias("x"), F.array("denied").alias("y"))
+    growth = boosting.Growth(trees=1, depth=1, rate=1.0, row_share=1.0, column_share=1.0)
+    fitted = boosting.fit_boosters(rows, [boosting.Booster("stump", tuple(range(n)))], growth, edges=[_STUMP_EDGES] * n)
+    tree = fitted.trees[0]
+    edge, values = _STUMP_EDGES[int(tree.cut[0, 0])], [float(x) for x in (tree.gain[0, 0], tree.weight[0, 1], tree.weight[0, 2])]
+    out = spark.createDataFrame([(int(tree.feature[0, 0]), edge, *values)], "feature int, edge double, gain double, left_weight double, right_weight double")
+    return out.select("feature", *[r6(c) for c in out.columns[1:]])
+
+
+def _retrieved(spark, sf, outcomes, hits):
+    """Retrieval features of all claims, as an array, under the given outcomes of their neighbours."""
+    claims = labeled_claims(spark, sf).select("claim_id", "billed_amount")
+    seen = hits.join(outcomes.select(F.col("claim_id").alias("neighbour_id"), "denied"), "neighbour_id")
+    return rt.neighbour_features(claims, seen).select("claim_id", F.array(*rt.RETRIEVAL_FEATURES).alias("retrieval"))
+
+
+def _ladder_rows(scored, boosters, phases):
+    """Long predictions (phase, model, claim_id, denied, prob, true_denial_prob) of models scored side by side."""
+    each = F.array(*[F.struct(F.lit(p).alias("phase"), F.lit(b.name).alias("model"), F.col("y")[i].alias("denied"), F.col("probs")[i].alias("prob")) for i, (b, p) in enumerate(zip(boosters, phases))])
+    return scored.select("claim_id", "true_denial_prob", F.inline(each))
+
+
 @query("noise_sweep", "L10")
 def noise_sweep(spark, sf):
-    """Retrain under rising label noise; features are computed once and shared by all levels.
+    """Retrain under rising label noise: all levels' models grow together on one binned table.
 
     As labels change, so do neighbour outcomes: the retrieval result is kept and
     its denied flags are swapped.
     """
-    train, test = structured(spark, sf)
     noisy = stage(rules.noise_levels_table(labeled_claims(spark, sf), NOISE_LEVELS, seed=SEED).select("claim_id", "label_noise", "denied"), "noise")
-    hits = {s: stage(claim_neighbours(spark, sf, s).select("query_id", "rank", "neighbour_id", "similarity", "billed_amount"), "hits") for s in ("train", "test")}
-    claims = stage(labeled_claims(spark, sf).select("claim_id", "billed_amount", "split"), "amounts")
-
-    def rung(level):
-        y = noisy.where(F.col("label_noise") == level).select("claim_id", "denied")
-        sets = []
-        for df, split in ((train, "train"), (test, "test")):
-            seen = hits[split].join(y.withColumnRenamed("claim_id", "neighbour_id"), "neighbour_id")
-            feats = rt.neighbour_features(claims.where(F.col("split") == split), seen)
-            vec = feats.select("claim_id", array_to_vector(F.array(*rt.RETRIEVAL_FEATURES)).alias("retrieval"))
-            sets.append(stage(df.drop("denied").join(y, "claim_id").join(vec, "claim_id"), "noisy"))
-        return models.ladder(
-            *sets, {"structured": ["structured"], "augmented": ["structured", "retrieval"]}, models.regularised_boosting,
-            phase=str(level), keep=["true_denial_prob"],
-        )
-
-    out = reduce(DataFrame.unionByName, models.fit_all([lambda x=x: rung(x) for x in NOISE_LEVELS]))
-    rows = stage(out, "sweep")
+    columns = ["query_id", "rank", "neighbour_id", "similarity", "billed_amount"]
+    hits = stage(claim_neighbours(spark, sf, "train").select(*columns).unionByName(claim_neighbours(spark, sf, "test").select(*columns)), "hits")
+    n = len(train_encoder(spark, sf)[0].feature_names)
+    labels = noisy.groupBy("claim_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("label_noise", "denied"))), lambda s: s["denied"]).alias("y"))
+    train, test = structured(spark, sf)
+    wide = train.unionByName(test).select("claim_id", "split", "true_denial_prob", vector_to_array("structured").alias("x")).join(labels, "claim_id")
+    for level in NOISE_LEVELS:
+        found = _retrieved(spark, sf, noisy.where(F.col("label_noise") == level), hits)
+        wide = wide.join(found, "claim_id").withColumn("x", F.concat("x", "retrieval")).drop("retrieval")
+    wide = stage(wide.withColumn("y", F.concat("y", "y")), "sweep")
+    own, width = tuple(range(n)), len(rt.RETRIEVAL_FEATURES)
+    boosters = [boosting.Booster("structured", own) for _ in NOISE_LEVELS]
+    boosters += [boosting.Booster("augmented", own + tuple(range(n + i * width, n + (i + 1) * width))) for i in range(len(NOISE_LEVELS))]
+    fitted = boosting.fit_boosters(wide.where("split = 'train'"), boosters)
+    rows = stage(_ladder_rows(fitted.score(wide.where("split = 'test'")), boosters, [str(x) for x in NOISE_LEVELS] * 2), "sweep")
     ceiling = rows.where("model = 'structured'").select("phase", F.lit("ceiling").alias("model"), "denied", F.col("true_denial_prob").alias("prob"))
     result = evaluate.evaluate(rows.select("phase", "model", "denied", "prob").unionByName(ceiling), "denied", "prob")
     return result.groupBy(F.col("phase").cast("double").alias("label_noise")).agg(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from remitlens.functions.scalar import drift_flag
 from remitlens.operators.ranking import exact_quantiles, range_index, running_totals
+from remitlens.operators.placements import path_p_value
 from remitlens.session import stage
 
 FLOOR = 1e-6
@@ -65,14 +66,29 @@ def psi_categorical(ref: DataFrame, cmp: DataFrame, columns: Sequence[str]) -> D
     return _psi(long.groupBy("feature", "value").agg(*_side_counts()), ["feature"])
 
 
-def ks_two_sample(ref: DataFrame, cmp: DataFrame, column: str) -> DataFrame:
-    """Largest gap of the two empirical CDFs and its asymptotic p-value."""
+#: Samples up to this size have exact p-values.
+EXACT_ROWS = 10_000
+
+
+def ks_two_sample(ref: DataFrame, cmp: DataFrame, column: str, method: str = "auto") -> DataFrame:
+    """Largest gap of the two empirical CDFs and its p-value.
+
+    ``method``: "exact" counts lattice paths, "asymp" sums the limit's series, "auto" is exact
+    if neither sample has more than EXACT_ROWS values. An empty sample gives a null statistic.
+    """
     both = _sides(ref, cmp, {"x": F.col(column).cast("double")})
     counts = both.where(F.col("x").isNotNull()).groupBy("x").agg(*_side_counts())
     ranked = running_totals(counts, "x", ["n_ref", "n_cmp"])
     ends = ranked.select("n_ref", "n_cmp", (F.col("before_n_ref") + F.col("n_ref")).alias("c_ref"), (F.col("before_n_cmp") + F.col("n_cmp")).alias("c_cmp"))
     n, m = ends.agg(F.sum("n_ref"), F.sum("n_cmp")).first()
+    n, m = n or 0, m or 0
+    if not n or not m:
+        return ends.agg(F.max(F.lit(None).cast("double")).alias("ks_stat")).select(F.lit(column).alias("feature"), "ks_stat", F.col("ks_stat").alias("ks_pvalue"))
     d = F.max(F.abs(F.col("c_ref") / F.lit(n) - F.col("c_cmp") / F.lit(m)))
+    if method == "exact" or method == "auto" and max(n, m) <= EXACT_ROWS:
+        gap = F.max(F.abs(F.col("c_ref") * F.lit(m) - F.col("c_cmp") * F.lit(n)))
+        row = ends.agg(d.alias("d"), gap.alias("gap")).first()
+        return ref.sparkSession.createDataFrame([(column, row["d"], path_p_value(n, m, int(row["gap"])))], "feature string, ks_stat double, ks_pvalue double")
     lam = F.col("ks_stat") * F.lit(math.sqrt(n * m / (n + m)))
     series = F.lit(2.0) * F.aggregate(
         F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda acc, k: acc + F.pow(F.lit(-1.0), k - 1) * F.exp(-2.0 * k * k * lam * lam)

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_roots: dict[str, str] = {}
 _scope = threading.local()
@@ -97,3 +98,25 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+#: Groups of more than 1/HOT_SHARE of all members count as hot: at most HOT_SHARE of them can exist.
+HOT_SHARE = 1000
+
+
+def attach(members: DataFrame, groups: DataFrame, key: list[str], size: str, how: str = "inner") -> DataFrame:
+    """Join ``members`` to the one row of ``groups`` for their ``key`` (never null).
+
+    ``size`` is the column of ``groups`` with the number of members of the key. Groups above
+    1/1000 of all members number at most 1000, so those rows are broadcast, and a key held by a third of all rows
+    never meets one task; the rest is a shuffled join of small groups.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot, cold = groups.where(F.col(size) * HOT_SHARE > total), groups.where(F.col(size) * HOT_SHARE <= total)
+    columns = [c for c in groups.columns if c not in key]
+    if not hot.take(1):
+        return members.join(cold, key, how)
+    flagged = members.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    done = flagged.where(F.col("_hot")).drop("_hot")
+    rest = flagged.where(F.col("_hot").isNull()).drop("_hot", *columns)
+    return done.select(*members.columns, *columns).unionByName(rest.join(cold, key, how).select(*members.columns, *columns))
