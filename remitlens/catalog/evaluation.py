@@ -8,7 +8,7 @@ from remitlens.catalog.claims import SEED, labeled_claims, scored_claims, sql_ke
 from remitlens.catalog.registry import query, r6, s6
 from remitlens.catalog.tables import RUN_SQL
 from remitlens.functions.hashing import PRIME
-from remitlens.operators import drift, evaluate, rules, sampling
+from remitlens.operators import drift, evaluate, placements, rules, sampling
 from remitlens.operators.sampling import POISSON_CDF, fit_temporal_cut, replicate_multipliers
 from remitlens.session import stage
 
@@ -124,6 +124,38 @@ def bootstrap_lift_full(spark, sf):
     return evaluate.bootstrap_auroc_lift(_test(spark, sf), "claim_id", "denied", "blurred", "true_denial_prob")
 
 
+_MID = "(rank() OVER (PARTITION BY {g} ORDER BY {s}) + (count(*) OVER (PARTITION BY {t}) - 1) / 2.0::DOUBLE)"
+
+
+def _placed(s: str) -> str:
+    """Placement of each test row under a score, from its mid-ranks among all rows and in its class."""
+    among = f"({_MID.format(g='1', s=s, t=s)} - {_MID.format(g='denied', s=s, t=f'denied, {s}')})"
+    other = "count(*) FILTER (denied = {}) OVER ()"
+    return f"CASE WHEN denied = 1 THEN {among} / {other.format(0)} ELSE 1.0::DOUBLE - {among} / {other.format(1)} END"
+
+
+@query("placement_lift", "E5", with_labeled(
+    f"""SELECT {s6('a', 'auroc_base')}, {s6('b', 'auroc_better')}, {s6('b - a', 'lift_point')}, round(va * 1e6::DOUBLE, 6) + 0.0::DOUBLE AS var_base, round(vb * 1e6::DOUBLE, 6) + 0.0::DOUBLE AS var_better,
+     round(cab * 1e6::DOUBLE, 6) + 0.0::DOUBLE AS covariance, {s6('sqrt(va + vb - 2 * cab)', 'std_error')}, {s6('b - a - 1.959963984540054::DOUBLE * sqrt(va + vb - 2 * cab)', 'lift_low')},
+     {s6('b - a + 1.959963984540054::DOUBLE * sqrt(va + vb - 2 * cab)', 'lift_high')}, n_pos, n_neg FROM (
+      SELECT max(ma) FILTER (denied = 1) AS a, max(mb) FILTER (denied = 1) AS b, sum(sa / n) AS va, sum(sb / n) AS vb, sum(sab / n) AS cab, max(n) FILTER (denied = 1) AS n_pos, max(n) FILTER (denied = 0) AS n_neg FROM (
+       SELECT denied, avg(pa) AS ma, avg(pb) AS mb, var_samp(pa) AS sa, var_samp(pb) AS sb, covar_samp(pa, pb) AS sab, count(*) AS n FROM pl GROUP BY denied))""",
+    TEST_SQL + f", pl AS (SELECT denied, {_placed('blurred')} AS pa, {_placed('true_denial_prob')} AS pb FROM tt)"))
+def placement_lift(spark, sf):
+    """The lift of two scores with the variance of their difference from placements: one pass, no replicates."""
+    out = placements.placement_lift(_test(spark, sf), "denied", "blurred", "true_denial_prob")
+    micro = [F.round(F.col(c) * 1e6, 6).alias(c) for c in ("var_base", "var_better", "covariance")]
+    return out.select("n_pos", "n_neg", *micro, *[r6(c) for c in ("auroc_base", "auroc_better", "lift_point", "std_error", "lift_low", "lift_high")])
+
+
+@query("ks_small_samples", "D3")
+def ks_small_samples(spark, sf):
+    """Length of good and of bad labelled notes: largest CDF gap with its p-value."""
+    rows = stage(table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("n_chars", "quality"), "lengths")
+    out = drift.ks_two_sample(rows.where("quality = 1"), rows.where("quality = 0"), "n_chars")
+    return out.select("feature", r6("ks_stat"), r6("ks_pvalue"))
+
+
 @query("brier_score", "E6", with_labeled(f"SELECT {s6('avg(pow(true_denial_prob - denied, 2))', 'brier')} FROM labeled WHERE split = 'test'"))
 def brier_score(spark, sf):
     return evaluate.brier(_test(spark, sf), "denied", "true_denial_prob").select(r6("brier"))

@@ -96,14 +96,35 @@ def evidence_status_dense(spark, sf):
     return ev.classify_dense(evidence_cases(spark, sf)).drop("requirement_text")
 
 
-@query("policy_requirements", "V4",
-    "WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"('{p['policy_id']}', '{p['family']}', '{i}')" for p in POLICIES for i, _ in p["requirements"]) + ") v(policy_id, family, req_id)) "
-    "SELECT policy_id, family, req_id, count(*) AS n_items FROM r, benchmark WHERE item_id % 10 = CAST(regexp_extract(req_id, '(\\d+)', 1) AS INT) GROUP BY ALL")
+def policies(spark, sf):
+    """Nested policies: the known ones, and one per ten benchmark items with the items as its requirements."""
+    items = table(spark, sf, "benchmark").where("text IS NOT NULL")
+    number = F.floor(F.col("item_id") / 10).cast("string")
+    own = items.groupBy(F.concat(F.lit("B"), number).alias("policy_id")).agg(
+        F.lit("benchmark").alias("family"), F.lit("benchmark").alias("source"),
+        F.array_sort(F.collect_list(F.struct(F.concat(F.lit("B-"), F.col("item_id").cast("string")).alias("req_id"), "text"))).alias("requirements"),
+    )
+    return ev.policy_table(spark).unionByName(own)
+
+
+def _policies_sql() -> str:
+    known = ", ".join(f"('{p['policy_id']}', '{p['family']}', '{i}', '{t}')" for p in POLICIES for i, t in p["requirements"])
+    return f"""reqs AS (SELECT * FROM (VALUES {known}) v(policy_id, family, req_id, t) UNION ALL SELECT concat('B', item_id // 10), 'benchmark', concat('B-', item_id), text FROM benchmark),
+ recs AS (SELECT DISTINCT t FROM (SELECT unnest(list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: trim(x)), lambda x: x <> '')) AS t FROM documents)),
+ corpus AS (SELECT t FROM reqs UNION SELECT t FROM recs), occ AS (SELECT t, unnest({tokens_sql('t')}) AS term FROM corpus),
+ tf AS (SELECT t, term, count(*) AS n FROM occ GROUP BY ALL),
+ idf AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM corpus)) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf FROM tf GROUP BY term),
+ raw AS (SELECT t, term, n * idf AS w FROM tf JOIN idf USING (term)), wt AS (SELECT t, term, w / sqrt(sum(w * w) OVER (PARTITION BY t)) AS w FROM raw),
+ hits AS (SELECT a.t AS q, b.t AS c, round(sum(a.w * b.w), 9) AS s FROM wt a JOIN wt b USING (term) WHERE a.t IN (SELECT t FROM reqs) AND b.t IN (SELECT t FROM recs) GROUP BY ALL HAVING round(sum(a.w * b.w), 9) >= {LEXICAL_THRESHOLD}::DOUBLE)"""
+
+
+@query("policy_requirements", "V4", "WITH " + _policies_sql() + f""" SELECT policy_id, family, req_id, count(*) AS n_chunks, {s6('max(s)', 'best_score')}, {s6('sum(s)', 'total_score')}
+ FROM reqs JOIN hits ON hits.q = reqs.t GROUP BY policy_id, family, req_id""")
 def policy_requirements(spark, sf):
-    """Requirements of the nested policies, with the benchmark items assigned to each."""
-    reqs = ev.requirement_rows(ev.policy_table(spark))
-    items = table(spark, sf, "benchmark").select((F.col("item_id") % 10).alias("slot"))
-    return reqs.join(items, F.regexp_extract("req_id", r"(\d+)", 1).cast("int") == F.col("slot")).groupBy("policy_id", "family", "req_id").agg(F.count("*").alias("n_items"))
+    """Requirements of nested policies against every chunk of every record."""
+    chunks = notes(spark, sf).select(F.explode(sentences("text")).alias("chunk"))
+    found = ev.requirement_matches(ev.requirement_rows(policies(spark, sf)), chunks)
+    return found.groupBy("policy_id", "family", "req_id").agg(F.count("*").alias("n_chunks"), r6(F.max("score"), "best_score"), r6(F.sum("score"), "total_score"))
 
 
 _ACT = "CASE predicted_status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ACTION_BY_STATUS.items()) + " END"

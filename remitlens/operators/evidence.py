@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from remitlens.constants import ACTION_BY_STATUS, DENSE_THRESHOLD, EXPLANATIONS, LEXICAL_THRESHOLD, POLICIES, STOP_WORDS
 from remitlens.functions.scalar import lookup, two_digits
 from remitlens.functions.text import flagged, text_key, tokens
+from remitlens.operators.cosine_join import cosine_join, term_cells
 from remitlens.operators.text import hashed_vectors
 from remitlens.session import stage
 
@@ -29,6 +30,24 @@ def requirement_rows(policies: DataFrame) -> DataFrame:
     return policies.select("policy_id", "family", "source", F.inline("requirements")).withColumnRenamed("text", "requirement_text")
 
 
+def requirement_matches(requirements: DataFrame, chunks: DataFrame, threshold: float = LEXICAL_THRESHOLD, chunk: str = "chunk", stop_words: Sequence[str] | str = STOP_WORDS) -> DataFrame:
+    """Every requirement with each distinct record chunk that reaches the threshold.
+
+    Returns the columns of ``requirements`` (rows as of ``requirement_rows``) with chunk and score, exactly:
+    no requirement is tied to a case beforehand, and none is compared with chunks that cannot reach the
+    threshold. Term weights are fitted over the distinct texts of both sides. Requirements without a
+    match have no row.
+    """
+    asked = requirements.select(F.col("requirement_text").alias("text"))
+    records = chunks.select(F.col(chunk).alias("text"))
+    cells = stage(term_cells(asked.unionByName(records), "text", stop_words), "requirement-cells")
+    keys = lambda rows: rows.where(F.col("text").isNotNull()).select(text_key("text").alias("text_key")).distinct()
+    found = stage(cosine_join(cells.join(keys(asked), "text_key", "left_semi"), cells.join(keys(records), "text_key", "left_semi"), threshold), "requirement-pairs")
+    texts = records.where(F.col("text").isNotNull()).groupBy(text_key("text").alias("right_key")).agg(F.first("text").alias("chunk"))
+    shown = found.join(texts, "right_key").select("left_key", "chunk", F.col("similarity").alias("score"))
+    return requirements.withColumn("left_key", text_key("requirement_text")).join(shown, "left_key").drop("left_key")
+
+
 def case_texts(cases: DataFrame) -> DataFrame:
     """Distinct requirement and record texts: the corpus the term weights are fitted on."""
     long = cases.select(F.explode(F.concat(F.array("requirement_text"), F.coalesce("full_record_chunks", F.array().cast("array<string>")))).alias("text"))
