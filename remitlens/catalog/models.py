@@ -6,11 +6,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from remitlens.catalog.claims import SEED, labeled_claims, table, with_labeled
-from remitlens.catalog.features import _ENC, _FEATS, claim_neighbours, retrieval_features, train_encoder
+from remitlens.catalog.features import _ENC, _FEATS, ANCHOR, K, claim_neighbours, retrieval_features, train_encoder
 from remitlens.catalog.registry import query, r6, s6
 from remitlens.constants import NOISE_LEVELS
 from remitlens.operators import attribution as at
-from remitlens.operators import boosting, evaluate, models, rules, sampling
+from remitlens.operators import boosting, evaluate, models, placements, rules, sampling
 from remitlens.operators import features as ft
 from remitlens.operators import retrieval as rt
 from remitlens.operators import text as tx
@@ -32,14 +32,6 @@ def structured(spark, sf):
     return df.where("split = 'train'"), df.where("split = 'test'")
 
 
-def _with_retrieval(spark, sf):
-    out = []
-    for df, split in zip(structured(spark, sf), ("train", "test")):
-        r = retrieval_features(spark, sf, split).select("claim_id", array_to_vector(F.array(*rt.RETRIEVAL_FEATURES)).alias("retrieval"))
-        out.append(stage(df.join(r, "claim_id"), "retrieval"))
-    return out
-
-
 def _record(rows, model: str, phase: str):
     return evaluate.evaluate(rows.withColumn("phase", F.lit(phase)).withColumn("model", F.lit(model)), "denied", "prob")
 
@@ -85,15 +77,92 @@ def weighted_boosting(spark, sf):
     return _record(models.score(learner.fit(models.class_weight(train)), test), "weighted-boosting", "phase4")
 
 
-@query("feature_ladder", "M6 M7 F4")
+RUNGS = ("structured", "structured+text", "structured+retrieval", "structured+text+retrieval", "leaky-index")
+_ladders: dict = {}
+
+
+def claim_texts(spark, sf):
+    """Notes of the claims: codes, and what the record says about therapy where necessity is documented."""
+    said = F.when(F.col("_necessity_documented"), "conservative therapy failed").otherwise("routine visit")
+    return labeled_claims(spark, sf).select("claim_id", "split", F.concat_ws(" ", "icd10_code", "cpt_code", said).alias("note"))
+
+
+def ladder_claims(spark, sf):
+    """All claims with one feature vector for every rung, and each rung's positions in it.
+
+    Training claims find neighbours among the other training claims, test claims among the training claims. The leaky
+    rung's neighbours come from an index of all claims, the claim itself included, on both sides.
+    """
+    train, test = structured(spark, sf)
+    _, embedded = train_encoder(spark, sf)
+    encoder = tx.text_encoder("tfidf").fit(claim_texts(spark, sf).where("split = 'train'"), "note")
+    noted = encoder.transform(claim_texts(spark, sf), "claim_id", "note", "text").select("claim_id", vector_to_array("text").alias("text"))
+    honest = retrieval_features(spark, sf, "train").unionByName(retrieval_features(spark, sf, "test"))
+    everything = embedded.where("split = 'train'").unionByName(embedded.where("split = 'test'"))
+    seen = rt.nearest(everything, everything, id_col="claim_id", vec_col="embedding", k=K, payload=["denied", "billed_amount"], **ANCHOR)
+    leaky = rt.neighbour_features(everything, seen)
+    wide = train.unionByName(test).select("claim_id", "split", "denied", "true_denial_prob", vector_to_array("structured").alias("x"))
+    for part in (noted, *(r.select("claim_id", F.array(*rt.RETRIEVAL_FEATURES).alias("found")) for r in (honest, leaky))):
+        wide = wide.join(part.withColumnRenamed("text", "found"), "claim_id").withColumn("x", F.concat("x", "found")).drop("found")
+    ends = [0]
+    for width in (len(train_encoder(spark, sf)[0].feature_names), encoder.dim, len(rt.RETRIEVAL_FEATURES), len(rt.RETRIEVAL_FEATURES)):
+        ends.append(ends[-1] + width)
+    own, text, found, leak = (tuple(range(x, y)) for x, y in zip(ends, ends[1:]))
+    positions = dict(zip(RUNGS, (own, own + text, own + found, own + text + found, own + leak)))
+    return stage(wide, "ladder"), positions
+
+
+def fitted_ladder(spark, sf):
+    """The rungs' models, grown together (once per session), and the claims they see."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _ladders:
+        wide, positions = ladder_claims(spark, sf)
+        boosters = [boosting.Booster(name, features) for name, features in positions.items()]
+        train = wide.where("split = 'train'").withColumn("y", F.array(*[F.col("denied")] * len(boosters)))
+        _ladders[key] = (boosting.fit_boosters(train, boosters), wide)
+    return _ladders[key]
+
+
+def ladder_predictions(spark, sf):
+    """Test claims with one probability column per rung."""
+    fitted, wide = fitted_ladder(spark, sf)
+    scored = fitted.score(wide.where("split = 'test'"))
+    return scored.select("claim_id", "denied", "true_denial_prob", *[F.col("probs")[i].alias(b.name.replace("+", "_").replace("-", "_")) for i, b in enumerate(fitted.boosters)])
+
+
+@query("feature_ladder", "M6 M7 R6 F4 E5 L12")
 def feature_ladder(spark, sf):
-    """The same learner on structured features, with and without retrieval, and the lift."""
-    train, test = _with_retrieval(spark, sf)
-    rows = models.ladder(
-        train, test, {"structured": ["structured"], "structured+retrieval": ["structured", "retrieval"]},
-        models.regularised_boosting,
-    )
-    return models.with_lifts(evaluate.evaluate(stage(rows, "ladder"), "denied", "prob"), "structured")
+    """Four rungs, the leaky contrast and the ceiling: metrics, cost point, and the lift over the first with its interval."""
+    rows = stage(ladder_predictions(spark, sf), "ladder")
+    names = {r: r.replace("+", "_").replace("-", "_") for r in RUNGS} | {"ceiling": "true_denial_prob"}
+    long = rows.select("denied", F.inline(F.array(*[F.struct(F.lit("ablation").alias("phase"), F.lit(n).alias("model"), F.col(c).alias("prob")) for n, c in names.items()])))
+    metrics = evaluate.evaluate(long, "denied", "prob")
+    lifts = None
+    for name, column in names.items():
+        if name == RUNGS[0]:
+            continue
+        one = placements.placement_lift(rows, "denied", RUNGS[0], column).select(F.lit(name).alias("model"), F.col("lift_point").alias("lift"), "lift_low", "lift_high", "p_value_one_sided")
+        lifts = one if lifts is None else lifts.unionByName(one)
+    return metrics.join(lifts, "model", "left")
+
+
+@query("ladder_importance", "F7 M6")
+def ladder_importance(spark, sf):
+    """The twelve features with the largest total gain in the full rung."""
+    fitted, _ = fitted_ladder(spark, sf)
+    gains = fitted.gains(spark, [f"f{i:03d}" for i in range(len(fitted.edges))])
+    return gains.where(F.col("model") == RUNGS[3]).orderBy(F.desc("gain"), "feature").limit(12).select("feature", r6("gain"), "n_splits")
+
+
+@query("augmented_decisions", "K1 M11 S8")
+def augmented_decisions(spark, sf):
+    """The retrieval-augmented rung, written and read back, decides on every test claim with its neighbours at hand."""
+    fitted, wide = fitted_ladder(spark, sf)
+    path = scratch_path(spark, "boosters")
+    write_parquet(fitted.as_table(spark), path)
+    again = boosting.BoostedModels.from_table(spark.read.parquet(path))
+    scored = again.score(wide.where("split = 'test'")).withColumn("prob", F.col("probs")[RUNGS.index("structured+retrieval")]).drop("probs")
+    return sp.decision_support(scored, claim_neighbours(spark, sf, "test")).select("claim_id", "denial_probability", "risk_band", "suggested_action", "rationale")
 
 
 NOTE_RUNGS = {"structured": ["structured"], "text": ["note"], "structured+text": ["structured", "note"], "structured+blank": ["structured", "blank"]}
