@@ -301,7 +301,8 @@ def psi_categorical(spark, sf):
 @query("ks_two_sample", "D3", with_labeled(" UNION ALL ".join(f"SELECT '{c}' AS feature, {s6(_ks_sql(c), 'ks_stat')}, {s6(_ks_p_sql(c), 'ks_pvalue')}" for c in ("billed_amount", "filing_days"))))
 def ks_two_sample(spark, sf):
     a, b = _sides(spark, sf)
-    return drift.ks_two_sample(a, b, "billed_amount").unionByName(drift.ks_two_sample(a, b, "filing_days")).select("feature", r6("ks_stat"), r6("ks_pvalue"))
+    both = [drift.ks_two_sample(a, b, c, method="asymp") for c in ("billed_amount", "filing_days")]
+    return both[0].unionByName(both[1]).select("feature", r6("ks_stat"), r6("ks_pvalue"))
 
 
 _FLAG = "CASE WHEN psi > 0.25 THEN 'major' WHEN psi > 0.1 THEN 'moderate' ELSE 'negligible' END"
@@ -316,4 +317,4 @@ _FLAG = "CASE WHEN psi > 0.25 THEN 'major' WHEN psi > 0.1 THEN 'moderate' ELSE '
     + ") UNION ALL SELECT 'denial_prevalence', 'label', NULL, NULL, NULL, printf('%.3f -> %.3f', (SELECT avg(denied) FROM labeled WHERE split = 'train'), (SELECT avg(denied) FROM labeled WHERE split = 'test'))"))
 def population_shift_report(spark, sf):
     a, b = _sides(spark, sf)
-    return drift.population_shift_report(a, b).select("feature", "type", r6("psi"), r6("ks_stat"), r6("ks_pvalue"), "drift")
+    return drift.population_shift_report(a, b, ks_method="asymp").select("feature", "type", r6("psi"), r6("ks_stat"), r6("ks_pvalue"), "drift")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.catalog.claims import SEED, labeled_claims, table, with_labeled
@@ -137,12 +140,12 @@ def feature_ladder(spark, sf):
     names = {r: r.replace("+", "_").replace("-", "_") for r in RUNGS} | {"ceiling": "true_denial_prob"}
     long = rows.select("denied", F.inline(F.array(*[F.struct(F.lit("ablation").alias("phase"), F.lit(n).alias("model"), F.col(c).alias("prob")) for n, c in names.items()])))
     metrics = evaluate.evaluate(long, "denied", "prob")
-    lifts = None
-    for name, column in names.items():
-        if name == RUNGS[0]:
-            continue
-        one = placements.placement_lift(rows, "denied", RUNGS[0], column).select(F.lit(name).alias("model"), F.col("lift_point").alias("lift"), "lift_low", "lift_high", "p_value_one_sided")
-        lifts = one if lifts is None else lifts.unionByName(one)
+    def lift(name, column):
+        one = placements.placement_lift(rows, "denied", RUNGS[0], column)
+        return one.select(F.lit(name).alias("model"), F.col("lift_point").alias("lift"), "lift_low", "lift_high", "p_value_one_sided")
+
+    found = models.fit_all([lambda n=n, c=c: lift(n, c) for n, c in names.items() if n != RUNGS[0]])
+    lifts = reduce(DataFrame.unionByName, found)
     return metrics.join(lifts, "model", "left")
 
 

@@ -106,6 +106,7 @@ def population_shift_report(
     numeric: Sequence[str] = ("billed_amount", "filing_days"),
     categorical: Sequence[str] = ("insurance_type", "cpt_code", "dx_category"),
     label: str | None = "denied",
+    ks_method: str = "auto",
 ) -> DataFrame:
     """Drift row per feature, and a prevalence row when both sides are labelled.
 
@@ -117,7 +118,7 @@ def population_shift_report(
     nothing = F.lit(None).cast("double")
     numeric_rows = None
     for c in numeric:
-        row = psi_numeric(ref, cmp, c).unionByName(ks_two_sample(ref, cmp, c), allowMissingColumns=True)
+        row = psi_numeric(ref, cmp, c).unionByName(ks_two_sample(ref, cmp, c, ks_method), allowMissingColumns=True)
         numeric_rows = row if numeric_rows is None else numeric_rows.unionByName(row)
     numeric_rows = numeric_rows.groupBy("feature").agg(*[F.max(c).alias(c) for c in ("psi", "ks_stat", "ks_pvalue")])
     report = numeric_rows.select("feature", F.lit("numeric").alias("type"), "psi", "ks_stat", "ks_pvalue").unionByName(
