@@ -12,6 +12,7 @@ those that are. A declared article keeps all its blocks, whatever their density.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
 
@@ -33,9 +34,15 @@ BLOCKS = set(
 #: Elements whose end tag HTML lets authors leave out; the next block ends them.
 SHORT = {"p", "li", "dt", "dd", "td", "th", "tr", "option"}
 NESTING = (BLOCKS - SHORT - {"hr", "h1", "h2", "h3", "h4", "h5", "h6"}) | {"button", "span"}
-MARKS = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert(?:s|isement|ising)?|banner|sponsor(?:ed|s)?|promo(?:tion)?|cookies?|consent|notice|gdpr|popup|modal|sidebar|menu|nav(?:bar|igation)?|breadcrumbs?"
-    r"|comments?|replies|respond|disqus|share|sharing|social|related|newsletter|subscribe|signup|login|masthead|footer|toolbar|pagination|widget)(?![a-z])"
+#: Words of class names and ids that name side matter, and words that may stand beside them.
+MARKS = set(
+    "ad ads advert adverts advertisement advertising banner banners sponsor sponsored sponsors promo promotion cookie cookies consent notice notices gdpr popup modal sidebar"
+    " menu menus nav navbar navigation breadcrumb breadcrumbs comment comments replies respond disqus share sharing social related newsletter subscribe signup login"
+    " masthead footer toolbar pagination widget widgets".split()
+)
+BESIDE = set(
+    "wrap wrapper container box bar area block section list items item inner outer top bottom left right site page global primary secondary main mobile desktop sticky fixed"
+    " header buttons button icons icon links link form forms posts post articles stories news panel slot unit group row column col policy overlay message text title content".split()
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
@@ -43,6 +50,38 @@ _REST = re.compile(r"[^\"'>]*(?:(?:\"[^\"]*\"|'[^']*')[^\"'>]*)*>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
+def _marked(names: str) -> bool:
+    """Whether a class or id names side matter: a whole name of such words and of words that go with them.
+
+    "cookie-notice" and "site-footer" do, "has-sidebar", "market-share" and "comments-open" do not.
+    """
+    for name in names.replace("_", "-").split():
+        words = [w for w in name.split("-") if w and not w[0].isdigit()]
+        if any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE for w in words):
+            return True
+    return False
+
+
+_FORM_PARTS = re.compile(r"<(/form|article|main|h1|h2|p)(?=[\s/>])", re.I)
+
+
+class _Forms:
+    """Which forms of a page hold an article: a declared one, a main heading, or a heading with three paragraphs."""
+
+    def __init__(self, html: str):
+        self.ends: list[int] = []
+        self.places: dict[str, list[int]] = {k: [] for k in ("article", "h2", "p")}
+        for m in _FORM_PARTS.finditer(html):
+            kind = m[1].lower()
+            (self.ends if kind == "/form" else self.places["article" if kind in ("article", "main", "h1") else kind]).append(m.start())
+        self.ends.append(len(html))
+
+    def holds_article(self, at: int) -> bool:
+        end = self.ends[bisect_left(self.ends, at)]
+        inside = {k: bisect_left(v, end) - bisect_left(v, at) for k, v in self.places.items()}
+        return inside["article"] > 0 or inside["h2"] > 0 and inside["p"] > 2
+
+
 def _is_side(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element is not part of the article; a header inside an article is its heading."""
     if tag in SIDE and not (tag == "header" and inside):
@@ -51,7 +90,7 @@ def _is_side(tag: str, attributes: str, inside: bool) -> bool:
         value = "".join(values).lower()
         if (name := name.lower()) == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name == "role" and value in ROLES or name in ("class", "id") and tag not in ("body", "html", "article", "main") and MARKS.search(value.replace("_", "-")):
+        if name == "role" and value in ROLES or name in ("class", "id") and tag not in ("body", "html", "article", "main") and _marked(value):
             return True
     return False
 
@@ -67,7 +106,7 @@ def page_lines(html: str) -> tuple[list[tuple[str, int, bool, int]], list[int]]:
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # tag, side, article
     side = article = links = 0
-    quoted = True
+    quoted, forms = True, None
 
     def flush() -> None:
         nonlocal linked
@@ -142,7 +181,10 @@ def page_lines(html: str) -> tuple[list[tuple[str, int, bool, int]], list[int]]:
                 pop()
                 links = 0
         elif (tag in NESTING or tag in BLOCKS or tag in ("span", "section")) and not attributes.endswith("/"):
-            is_side = _is_side(tag, attributes, article > 0)
+            if tag == "form" and forms is None:
+                forms = _Forms(html)
+            # A form around the page's article is only its frame.
+            is_side = _is_side("div" if tag == "form" and forms.holds_article(stop) else tag, attributes, article > 0)
             is_article = tag in ("article", "main") or "main" in re.findall(r"role\s*=\s*[\"']?(\w+)", attributes)
             if tag in NESTING or is_side and tag in SHORT:
                 if is_side and not side:

@@ -17,3 +17,23 @@ LINKED = [f"<li><a href='/{i}'>Reference number {i}</a></li>" for i in range(5)]
 ])
 def test_article_text_is_kept(html, text):
     assert main_text(html) == text
+
+
+FRAMED = [
+    "<form id='aspnetForm' action='/x'><input type=hidden><nav>Menu</nav><article><h1>Head</h1><p>Body text.</p></article></form>",
+    "<form><h1>Head</h1><p>Body text.</p></form>",
+    "<body><div class='content-area no-sidebar'><h1>Head</h1><p>Body text.</p></div>",
+    "<article><div class='entry has-sidebar'><h1>Head</h1><p>Body text.</p></div></article>",
+    "<div class='post comments-open'><h1>Head</h1><p>Body text.</p></div>",
+]
+
+
+def test_names_of_side_matter_are_whole_names():
+    for html in FRAMED:
+        assert main_text(html) == "Head\nBody text."
+    for name in ("market-share", "related-work", "notice-period", "share_price", "advisor", "navy"):
+        assert main_text(f"<article><p>One.</p><div class='{name}'>Two.</div></article>") == "One.\nTwo."
+    for name in ("ad", "ad-slot", "site_footer", "cookie-notice big", "comments-area", "sidebar-left", "related-posts", "share-buttons", "ad-300x250"):
+        assert main_text(f"<article><p>One.</p><div class='{name}'>Two.</div></article>") == "One."
+    assert main_text("<article><p>One.</p><form><p><label>Name</label></p><p>Send</p></form></article>") == "One."
+    assert len(main_text("<form>" * 20_000 + "<h1>deep</h1>")) == 4
