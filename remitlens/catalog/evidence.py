@@ -11,6 +11,7 @@ from remitlens.constants import ACTION_BY_STATUS, DENSE_THRESHOLD, EXPLANATIONS,
 from remitlens.functions.text import sentences
 from remitlens.operators import evaluate
 from remitlens.operators import evidence as ev
+from remitlens.session import stage
 
 
 def evidence_cases(spark, sf):
@@ -81,8 +82,7 @@ def evidence_corpus(spark, sf):
 
 @query("evidence_best_match", "V2", LEX_CL + f" SELECT case_id, CASE side WHEN 'rec' THEN 'record' ELSE 'submitted' END AS side, c AS chunk, {s6('s', 'score')} FROM best")
 def evidence_best_match(spark, sf):
-    cases = evidence_cases(spark, sf)
-    out = ev.best_matches(cases, ev.lexical_vectors(cases), ev._sparse_dot, F.map_from_entries)
+    out = ev.lexical_matches(stage(evidence_cases(spark, sf), "cases"))
     return out.select("case_id", "side", "chunk", r6("score"))
 
 

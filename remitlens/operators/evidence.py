@@ -62,32 +62,47 @@ def _all_texts(cases: DataFrame) -> DataFrame:
     return long.where(F.col("text").isNotNull()).groupBy(text_key("text").alias("text_key")).agg(F.first("text").alias("text"))
 
 
-def lexical_vectors(cases: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """(text_key, vec: array of (term, weight)) for every distinct text of the cases.
+def _term_counts(texts: DataFrame, stop_words: Sequence[str] | str) -> DataFrame:
+    """(text_key, term, tf): runs of a text's sorted tokens, counted in the row."""
+    sorted_ = texts.select("text_key", F.sort_array(tokens("text", stop_words)).alias("_t"))
+    starts = F.filter(F.transform("_t", lambda x, i: F.when((i == 0) | (x != F.get(F.col("_t"), i - 1)), i)), lambda i: i.isNotNull())
+    runs = F.transform("_s", lambda s, j: F.struct(F.get(F.col("_t"), s).alias("term"), (F.coalesce(F.get(F.col("_s"), j + 1), F.size("_t")) - s).alias("tf")))
+    return sorted_.withColumn("_s", starts).select("text_key", F.inline(runs))
 
-    Term weights are fitted once over the whole corpus; each distinct text is
-    weighted once however many cases hold it.
+
+def lexical_weights(cases: DataFrame, stop_words: Sequence[str] | str = STOP_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Term weights (term, idf) fitted on the corpus, and (text_key, norm) of every distinct text of the cases.
+
+    A text's terms need not be kept: whoever has the text has them, and its vector is their idf over the norm.
+    A term outside the fitted corpus has no weight; a text without weighted terms has no row.
     """
     corpus = stage(case_texts(cases), "corpus")
     n = corpus.count()
-    idf = (
+    idf = stage(
         corpus.select(F.inline(flagged(tokens("text", stop_words))))
         .groupBy("term")
         .agg(F.sum("new").alias("df"))
-        .select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
-    )
-    counts = _all_texts(cases).select("text_key", F.explode(tokens("text", stop_words)).alias("term")).groupBy("text_key", "term").agg(F.count("*").alias("tf"))
-    # A term outside the fitted corpus has no weight.
-    cells = counts.join(idf, "term").select("text_key", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    return cells.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("cells"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).select(
-        "text_key", F.transform("cells", lambda c: F.struct(c["term"].alias("term"), (c["w"] / F.col("norm")).alias("w"))).alias("vec")
+        .select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")),
+        "idf",
     )
-
-
-def _sparse_dot(q: Column, c: Column) -> Column:
-    """Dot product of a term -> weight map and a (term, weight) list."""
-    dot = F.aggregate(c, F.lit(0.0), lambda acc, s: acc + F.coalesce(F.try_element_at(q, s["term"]), F.lit(0.0)) * s["w"])
-    return F.when(q.isNotNull() & c.isNotNull(), dot / F.lit((1.0 + SMALL) * (1.0 + SMALL))).otherwise(0.0)
+    sent = cases.select(F.explode("submitted_chunks").alias("text")).where(F.col("text").isNotNull())
+    other = sent.groupBy(text_key("text").alias("text_key")).agg(F.first("text").alias("text")).join(corpus.select("text_key"), "text_key", "left_anti")
+    cells = _term_counts(corpus.unionByName(other), stop_words).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    return idf, stage(cells.groupBy("text_key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "norms")
+
+
+def lexical_matches(cases: DataFrame, stop_words: Sequence[str] | str = STOP_WORDS) -> DataFrame:
+    """``best_matches`` by TF-IDF cosine: a chunk's terms are read from the chunk itself, only its norm is joined."""
+    idf, norms = lexical_weights(cases, stop_words)
+    asked = cases.where(F.col("requirement_text").isNotNull()).groupBy(text_key("requirement_text").alias("text_key")).agg(F.first("requirement_text").alias("text"))
+    cells = _term_counts(asked, stop_words).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    # Weight of each term per occurrence in a chunk, but for the chunk's norm.
+    vectors = cells.groupBy(F.col("text_key").alias("q_key")).agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("w") * F.col("idf")))).alias("_terms"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm"))
+    q = _few(stage(vectors, "requirements"))
+    scored = _pairs(cases).join(norms.withColumnRenamed("text_key", "c_key"), "c_key", "left").join(q, "q_key", "left")
+    dot = F.aggregate(tokens("chunk", stop_words), F.lit(0.0), lambda acc, t: acc + F.coalesce(F.try_element_at("_terms", t), F.lit(0.0)))
+    cosine = F.when(F.col("norm").isNotNull() & F.col("q_norm").isNotNull(), dot / F.col("q_norm") / F.col("norm") / F.lit((1.0 + SMALL) * (1.0 + SMALL))).otherwise(0.0)
+    return _best(scored.select("case_id", "side", "pos", "chunk", F.round(cosine, 9).alias("score")))
 
 
 def dense_vectors(cases: DataFrame, encode: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -102,32 +117,39 @@ def _dense_dot(q: Column, c: Column) -> Column:
     return F.coalesce(dot, F.lit(0.0))
 
 
-def best_matches(
-    cases: DataFrame, vectors: DataFrame, similarity: Callable[[Column, Column], Column], asked: Callable[[Column], Column] = lambda v: v
-) -> DataFrame:
-    """Best chunk per case and side (``submitted``, ``record``): (case_id, side, chunk, score).
-
-    ``asked`` reshapes a requirement's vector once, before the comparison with
-    every chunk. The first of equal chunks wins. A side without chunks has no row here.
-    """
+def _pairs(cases: DataFrame) -> DataFrame:
+    """(case_id, side, q_key, pos, chunk, c_key) for every chunk of both sides."""
     sides = F.array(
         F.struct(F.lit("submitted").alias("side"), F.col("submitted_chunks").alias("chunks")),
         F.struct(F.lit("record").alias("side"), F.col("full_record_chunks").alias("chunks")),
     )
     listed = cases.select("case_id", text_key("requirement_text").alias("q_key"), F.inline(sides))
-    pairs = listed.select("case_id", "side", "q_key", F.posexplode("chunks").alias("pos", "chunk")).withColumn("c_key", text_key("chunk"))
+    return listed.select("case_id", "side", "q_key", F.posexplode("chunks").alias("pos", "chunk")).withColumn("c_key", text_key("chunk"))
+
+
+def _few(q: DataFrame) -> DataFrame:
+    """A few keys over all cases: the checked table goes to the cases, not the cases to a few tasks."""
+    return F.broadcast(q) if q.count() <= MAX_REQUIREMENTS else q
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    best = scored.groupBy("case_id", "side").agg(F.max_by(F.struct("chunk", "score"), F.struct("score", -F.col("pos"))).alias("b"))
+    return best.select("case_id", "side", "b.chunk", "b.score")
+
+
+def best_matches(cases: DataFrame, vectors: DataFrame, similarity: Callable[[Column, Column], Column]) -> DataFrame:
+    """Best chunk per case and side (``submitted``, ``record``): (case_id, side, chunk, score).
+
+    The first of equal chunks wins. A side without chunks has no row here.
+    """
     vectors = stage(vectors, "vectors")
     wanted = cases.select(text_key("requirement_text").alias("text_key")).distinct()
-    q = stage(vectors.join(wanted, "text_key", "left_semi"), "requirements").select(F.col("text_key").alias("q_key"), asked(F.col("vec")).alias("q_vec"))
-    if q.count() <= MAX_REQUIREMENTS:
-        # A few keys over all cases: the checked table goes to the cases, not the cases to a few tasks.
-        q = F.broadcast(q)
+    q = _few(stage(vectors.join(wanted, "text_key", "left_semi"), "requirements").select(F.col("text_key").alias("q_key"), F.col("vec").alias("q_vec")))
     c = vectors.select(F.col("text_key").alias("c_key"), F.col("vec").alias("c_vec"))
-    scored = pairs.join(c, "c_key", "left").join(q, "q_key", "left").select(
+    scored = _pairs(cases).join(c, "c_key", "left").join(q, "q_key", "left").select(
         "case_id", "side", "pos", "chunk", F.round(similarity(F.col("q_vec"), F.col("c_vec")), 9).alias("score")
     )
-    best = scored.groupBy("case_id", "side").agg(F.max_by(F.struct("chunk", "score"), F.struct("score", -F.col("pos"))).alias("b"))
-    return best.select("case_id", "side", "b.chunk", "b.score")
+    return _best(scored)
 
 
 def classify_cases(cases: DataFrame, matches: DataFrame, threshold: float) -> DataFrame:
@@ -157,7 +179,7 @@ def classify_cases(cases: DataFrame, matches: DataFrame, threshold: float) -> Da
 
 def classify_lexical(cases: DataFrame, threshold: float = LEXICAL_THRESHOLD, stop_words: Sequence[str] | str = STOP_WORDS) -> DataFrame:
     cases = stage(cases, "cases")
-    return classify_cases(cases, best_matches(cases, lexical_vectors(cases, stop_words), _sparse_dot, F.map_from_entries), threshold)
+    return classify_cases(cases, lexical_matches(cases, stop_words), threshold)
 
 
 def classify_dense(cases: DataFrame, threshold: float = DENSE_THRESHOLD, encode=None) -> DataFrame:
