@@ -32,3 +32,73 @@ def test_lines_meet_orders_while_narrow(spark, tmp_path):
     plan = view._jdf.queryExecution().optimizedPlan().toString()
     inner = max(plan.splitlines(), key=lambda x: len(x) - len(x.lstrip(" :+-")) if "l_orderkey" in x and "Join" in x else 0)
     assert "o_orderkey" in inner
+
+
+def test_queries_are_sent_once_per_group_of_clusters(spark, monkeypatch):
+    """Vectors without structure: every query must look at nearly every cluster, but travels to few groups."""
+    staged = {}
+
+    def kept(df, name):
+        staged[name] = stage(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(rt, "stage", kept)
+    x = np.random.default_rng(5).standard_normal((600, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = rt.nearest(df, df, id_col="id", vec_col="v", k=3, exclude_self=True, block=(64, 12)).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sim = (unit @ unit.T).round(9)
+    np.fill_diagonal(sim, -2)
+    assert {(r.query_id, r["rank"], r.neighbour_id) for r in got} == {(q, r + 1, int(i)) for q in range(600) for r, i in enumerate(np.lexsort((np.arange(600), -sim[q]))[:3])}
+    trips = staged["visits"].select(F.sum(F.size("_visits")), F.count("*"), F.max("_group")).first()
+    assert trips[0] > 600 * 30 and trips[1] <= 600 * (trips[2] + 1) and trips[2] < 2 * rt.VISIT_GROUPS
+
+
+def test_index_gives_the_payload_that_is_asked_for(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0], i % 2, "x") for i in range(6)], "id long, v array<double>, y int, t string")
+    index = rt.build_index(df, id_col="id", vec_col="v", keep=3, payload=["y", "t"])
+    assert rt.nearest(df, index, id_col="id", vec_col="v", k=2, payload=["y"]).columns[4:] == ["y"]
+    assert rt.nearest(df, index, id_col="id", vec_col="v", k=2).columns[4:] == ["y", "t"]
+
+
+def test_chunks_are_matched_without_vectors(spark, monkeypatch):
+    """Scores equal brute force; what is written of a chunk is its norm."""
+    from remitlens.operators import evidence as ev
+
+    staged = {}
+
+    def kept(df, name):
+        staged[name] = stage(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(ev, "stage", kept)
+    texts = ["fee fee paid", "claim paid late late", "zzz", "claim fee"]
+    rows = [(1, "claim fee", texts, texts[:1]), (2, "paid zzz", texts[1:], ["other words"]), (3, None, texts, None)]
+    cases = spark.createDataFrame(rows, "case_id long, requirement_text string, full_record_chunks array<string>, submitted_chunks array<string>")
+    got = {(r.case_id, r.side): (r.chunk, r.score) for r in ev.lexical_matches(cases).collect()}
+    corpus = sorted({*texts, "claim fee", "paid zzz"})
+    idf = {t: np.log((1 + len(corpus)) / (1 + sum(t in c.split() for c in corpus))) + 1 for c in corpus for t in c.split()}
+
+    def vector(text):
+        v = {t: text.split().count(t) * idf[t] for t in text.split() if t in idf}
+        size = sum(w * w for w in v.values()) ** 0.5
+        return {t: w / size for t, w in v.items()}
+
+    def cosine(a, b):
+        b = vector(b)
+        return round(sum(w * b.get(t, 0.0) for t, w in vector(a).items()) / (1 + ev.SMALL) ** 2, 9)
+
+    for case, asked, record, sent in rows[:2]:
+        for side, chunks in (("record", record), ("submitted", sent)):
+            scores = [cosine(asked, c) for c in chunks]
+            best = max(range(len(chunks)), key=lambda i: (scores[i], -i))
+            assert got[case, side][0] == chunks[best] and abs(got[case, side][1] - scores[best]) < 2e-9
+    assert got[3, "record"] == (texts[0], 0.0) and (3, "submitted") not in got
+    assert staged["norms"].columns == ["text_key", "norm"] and "vectors" not in staged
+
+
+def test_replicate_numbers_are_drawn_once_per_filter(spark):
+    from remitlens.operators.sampling import PRIME, bootstrap_weights
+
+    plan = bootstrap_weights(spark.range(5), "id", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert all(line.count(f"% {PRIME}") <= 20 for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter"))
