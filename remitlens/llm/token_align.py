@@ -16,6 +16,7 @@ counted and looked up one shard after the other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.llm.common import stage, text_of
-from remitlens.llm.token_files import BATCH_CHARS, encoder
+from remitlens.llm.sentencepiece_scan import MARK, Model
+from remitlens.llm.token_files import BATCH_CHARS, WordEncoder, _Slots
 
+#: Distinct words whose ids a Python worker remembers.
+CACHE_WORDS = 300_000
 SHARD_PAIRS, BUCKET_PAIRS, SEGMENT = 1 << 22, 1 << 16, 1 << 16
 #: Vectors that one task of the tree adds; counting tasks for each core.
 FAN, TASKS_PER_CORE = 16, 4
@@ -52,29 +56,97 @@ def piece_tokens(model) -> list[bytes]:
     return [bytes([int(p[3:-1], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
 
 
+class _IdLists:
+    """Id lists by number, end to end."""
+
+    def __init__(self):
+        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, lists: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        flat = np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(sizes)))
+        self.ids = np.concatenate((self.ids, flat))
+
+    def joined(self, slots: np.ndarray) -> np.ndarray:
+        """The lists of some numbers, one behind the other."""
+        start = self.starts[slots]
+        size = self.starts[slots + 1] - start
+        ends = np.cumsum(size)
+        return self.ids[np.arange(ends[-1]) + np.repeat(start - (ends - size), size)]
+
+
 class Tokenizers:
-    """Both tokenizers of a worker, with the bytes of their tokens."""
+    """Both tokenizers of a worker, with the bytes of their tokens.
+
+    In a regular text, white space is single spaces and newlines between words. There no token of either side crosses the
+    place before a space or a newline, so each distinct word is encoded once while it is remembered, with its space or newline.
+    Other texts, models that lack these cuts, and texts with a word that a side does not spell are encoded whole.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
-        self.coder = encoder(a_path)
+        # Not the worker's shared encoder: special tokens' strings are plain text here.
+        self.coder = WordEncoder(a_path)
+        self.coder.tokenizer.encode_special_tokens = True
         self.model = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a_bytes, self.b_bytes = byte_level_tokens(self.coder.tokenizer), piece_tokens(self.model)
+        self.bare = bare_model(b_path) if self.coder.by_word else None
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots, self.sides, self.fitting = _Slots(), (_IdLists(), _IdLists()), np.zeros(0, bool)
+
+    def _spelled(self, a: list[int], b: list[int], whole: bytes) -> bool:
+        """Whether both sides' bytes are the given ones."""
+        return b"".join(map(self.a_bytes.__getitem__, a)) == whole == b"".join(map(self.b_bytes.__getitem__, b))
+
+    def _learn(self) -> None:
+        new, self.slots.new = self.slots.new, []
+        if not new:
+            return
+        words = [w if w[:1] == "\n" else " " + w for w in new]
+        a, b = [e.ids for e in self.coder.tokenizer.encode_batch_fast(words, add_special_tokens=False)], self.bare.encode(words, num_threads=1)
+        for side, found in zip(self.sides, (a, b)):
+            side.add(found)
+        fits = [self._spelled(x, y, w.encode()) for x, y, w in zip(a, b, words)]
+        self.fitting = np.concatenate((self.fitting, np.array(fits, bool)))
+
+    def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        # The tokenizer's pattern cuts between a letter and a space, so the text follows a first token x.
+        a = self.coder._whole("x " + text) if self.coder.by_word else self.coder.encode(["x " + text])[0]
+        a, b = a[1:], self.model.encode([text], num_threads=1)[0]
+        return (a, np.array(b, np.uint32)) if text and self._spelled(a.tolist(), b, b" " + text.encode()) else (a[:0], a[:0])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of each text on both sides; none where a side's bytes are not those of a space and the text."""
-        special = self.coder.tokenizer.encode_special_tokens
-        self.coder.tokenizer.encode_special_tokens = True
-        try:
-            # The tokenizer's pattern cuts between a letter and a space, so the text follows a first token x.
-            first = self.coder.encode(["x " + t for t in texts])
-        finally:
-            self.coder.tokenizer.encode_special_tokens = special
-        for text, a, b in zip(texts, first, self.model.encode(texts, num_threads=1)):
-            a, whole = a[1:], b" " + text.encode()
-            fits = text and b"".join(map(self.a_bytes.__getitem__, a.tolist())) == whole == b"".join(map(self.b_bytes.__getitem__, b))
-            yield (a, np.array(b, np.uint32)) if fits else (a[:0], a[:0])
+        if len(self.slots) > CACHE_WORDS:
+            self._clear()
+        placed = []
+        for text in texts:
+            if self.bare and text and " ".join(text.split()) == text.replace("\n", " ") and MARK not in text:
+                words = text.replace("\n", " \n").split(" ")
+                placed.append(np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words)))
+            else:
+                placed.append(None)
+        self._learn()
+        for text, slots in zip(texts, placed):
+            if slots is None or not self.fitting[slots].all():
+                yield self._whole(text)
+            else:
+                yield self.sides[0].joined(slots), self.sides[1].joined(slots)
+
+
+def bare_model(path: str):
+    """The SentencePiece model without the space it adds, if it can be given word by word: a byte-pair model that keeps its
+    text as it is, with no piece that holds a word mark or a newline beside another character before it; else None."""
+    try:
+        model = Model(path)
+    except ValueError:
+        return None
+    cut = model.merges and model.prefix and not any("\n" in p and len(p) > 1 for p in model.pieces)
+    return model.bare if cut else None
 
 
 _tokenizers: dict[tuple[str, str], Tokenizers] = {}

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from remitlens.llm.common import terms_of
 from remitlens.llm.decontaminate import WindowSet, decontaminate, find_contamination
 from remitlens.llm.lexical import rank_documents
-from remitlens.llm.token_align import PairIndex, _bucket_bits, align_tokens, spread
+from remitlens.llm.token_align import PairIndex, Tokenizers, _bucket_bits, align_tokens, spread
 
 DOCS = "doc_id long, text string, rank int, n_words string, spans int, id string"
 ITEMS = "item_id long, text string, score int, row int"
@@ -243,3 +243,22 @@ def test_alignment_of_empty_tables(spark, texts):
     assert align_tokens(docs.filter("false"), A, B).count() == 0
     rows = align_tokens(docs.filter("text is null or text = ''"), A, B).collect()
     assert len(rows) == 2 and all(tuple(r)[1:] == (0, 0, 0, 0, 0, 0, "") for r in rows)
+
+
+def test_words_of_regular_texts_are_encoded_once():
+    """The ids are those of whole texts on both sides, though a word that comes again is not encoded again."""
+    rng = np.random.default_rng(8)
+    marks = ["a", "thing", "▁", " ", "  ", "\n", "\n\n", "\t", "\xa0", "\x85", "<|endoftext|>", "<0x41>", "</s>", "é", "日本", "\x00", "'s", "12", "..."]
+    odd = ["".join(rng.choice(marks, rng.integers(1, 25))) for _ in range(300)] + [" ".join(rng.choice(marks, 12)) for _ in range(100)]
+    plain = [" ".join(rng.choice(["some", "words", "that", "come", "again.\nAnd"], 200)) for _ in range(20)]
+    both, seen = Tokenizers(A, B), []
+    tok, model = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    tok.encode_special_tokens = True
+    encode = both.bare.encode
+    both.bare = type("Counting", (), {"encode": staticmethod(lambda texts, **k: seen.extend(texts) or encode(texts, **k))})
+    for text, (a, b) in zip(odd + plain, both.encode(odd + plain)):
+        want = (tok.encode(" " + text, add_special_tokens=False).ids, model.encode(text)) if text else ([], [])
+        spelled = [b"".join(names[i] for i in ids) for names, ids in zip((both.a_bytes, both.b_bytes), want)]
+        assert (a.tolist(), b.tolist()) == (want if spelled == 2 * [(" " + text).encode()] else ([], []))
+    seen.clear()
+    assert sum(len(a) >= 200 for a, _ in both.encode(plain)) == 20 and not seen
