@@ -172,3 +172,30 @@ def test_running_totals_with_slots(spark, monkeypatch):
     df = spark.createDataFrame(list(zip(x.tolist(), n.tolist())), "x double, n long")
     got = {r["x"]: r["before_n"] for r in ranking.running_totals(df, "x", ["n"]).collect()}
     assert got == {float(v): int(n[x < v].sum()) for v in x}
+
+
+def test_replicate_weights_equal_the_plain_hash():
+    """Folded residues and the weight table give what modulo and division give, at the edges too."""
+    from remitlens.functions.hashing import PRIME
+    from remitlens.operators.evaluate import _EDGES, _residue
+    from remitlens.operators.sampling import POISSON_CDF, replicate_multipliers
+
+    x = np.array([0, PRIME - 1, PRIME, PRIME + 1, 2 * PRIME, (PRIME - 1) ** 2 + PRIME - 1, (1 << 62) - 1])
+    assert _residue(x.copy()).tolist() == [int(v) % PRIME for v in x]
+    keys = np.random.default_rng(3).integers(0, PRIME, 20_000)
+    for b in (0, 7, 1999):
+        a, c = replicate_multipliers(b, 4)
+        u = np.array([pow((int(k) * a + c) % PRIME, 5, PRIME) / float(PRIME) for k in keys])
+        assert (_replicate_weights(keys, b, b + 1, 4)[:, 0] == np.searchsorted(POISSON_CDF, u, side="right")).all()
+    for t, edge in zip(_EDGES.tolist(), POISSON_CDF):
+        assert (t - 1) / float(PRIME) < edge <= t / float(PRIME)
+
+
+def test_bootstrap_ranges_are_not_merged_into_one_task(spark):
+    """Ranges of few bytes, whose draws are the work, go to several tasks."""
+    from remitlens.operators.evaluate import _partial_areas
+
+    rows = spark.range(4000).selectExpr("id * 7919 % 2147483647 as _k", "cast(id % 3 = 0 as int) as _y", "id / 4000.0 as s")
+    areas = _partial_areas(rows, "s", 3, 0, 500)
+    areas.collect()
+    assert "REPARTITION_BY_NUM" in areas._jdf.queryExecution().toString()
