@@ -177,3 +177,20 @@ def test_elimination_keeps_the_informative_feature(spark):
     df = small_data(spark).withColumn("denied", (F.col("x")[0] > 0.5).cast("int"))
     kept, _ = models.recursive_elimination(df, 3, 1)
     assert kept == [0]
+
+
+def test_counted_rows_grow_the_trees_of_all_rows(spark):
+    rng = np.random.default_rng(3)
+    x = np.stack([np.round(rng.exponential(size=900), 2), rng.normal(size=900), rng.integers(0, 2, 900)], axis=1).round(3)
+    x[::3] = x[0]
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(scale=0.3, size=900) > 0.8).astype(int)
+    df = spark.createDataFrame([(str(i), int(b), a.tolist()) for i, (a, b) in enumerate(zip(x, y))], "claim_id string, denied int, x array<double>")
+    df = df.select("claim_id", "denied", array_to_vector("x").alias("features"))
+    whole = models.gradient_boosting(trees=5).fit(df)
+    splits = models.split_points(df, "features")
+    rows = models.counted(df, "features", splits)
+    assert rows.agg(F.sum("weight")).first()[0] == 900 and rows.count() < 700
+    model = models.gradient_boosting(trees=5, weight="weight").fit(rows)
+    want = {r["claim_id"]: r["prob"] for r in models.score(whole, df).collect()}
+    got = {r["claim_id"]: r["prob"] for r in models.score(model, models.coded(df, "features", splits)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
