@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from remitlens.sources.tables import scratch_path
 
 MAX_NODES = 2_000_000
+#: Path features up to which a leaf's values are tabled once for all blocks.
+TABLE_FEATURES = 5
 
 
 def linear_attribution(df: DataFrame, id_col: str, columns: Sequence[str], weights: Sequence[float], means: Sequence[float]) -> DataFrame:
@@ -88,35 +90,64 @@ def tree_leaves(spark, model) -> list[Leaf]:
     return out
 
 
-def _shapley_block(x: np.ndarray, leaves: Sequence[Leaf]) -> np.ndarray:
-    """Path-dependent Shapley values of a block of rows.
+def _leaf_values(leaf: Leaf, present: np.ndarray) -> np.ndarray:
+    """Shapley value of each path feature (columns) for rows that follow the path at the features ``present``.
 
     A leaf's game has one player per distinct path feature: present, it is worth
     whether the row follows the path; absent, the share of training rows that do.
     The value is multiplicative, so subset sums are coefficients of a polynomial.
     """
-    phi = np.zeros_like(x)
-    for leaf in leaves:
-        features = list(leaf.spans)
-        d = len(features)
-        if not d:
-            continue
-        present = [(x[:, f] > leaf.spans[f][0]) & (x[:, f] <= leaf.spans[f][1]) for f in features]
-        share = [leaf.covers[f] for f in features]
-        for j, f in enumerate(features):
-            poly = np.zeros((d, len(x)))
-            poly[0] = 1.0
-            size = 0
-            for m in range(d):
-                if m == j:
-                    continue
-                shifted = np.zeros_like(poly)
-                shifted[1:] = poly[:-1] * present[m]
-                poly = poly * share[m] + shifted
-                size += 1
-            weight = np.array([factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)])
-            phi[:, f] += leaf.value * (weight[:, None] * poly).sum(axis=0) * (present[j] - share[j])
-    return phi
+    n, d = present.shape
+    share = list(leaf.covers.values())
+    weight = np.array([factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)])
+    out = np.zeros((n, d))
+    for j in range(d):
+        poly = np.zeros((d, n))
+        poly[0] = 1.0
+        for m in range(d):
+            if m == j:
+                continue
+            shifted = np.zeros_like(poly)
+            shifted[1:] = poly[:-1] * present[:, m]
+            poly = poly * share[m] + shifted
+        out[:, j] = leaf.value * (weight[:, None] * poly).sum(axis=0) * (present[:, j] - share[j])
+    return out
+
+
+def _bits(patterns: np.ndarray, d: int) -> np.ndarray:
+    return (patterns[:, None] >> np.arange(d)) & 1
+
+
+def leaf_tables(leaves: Sequence[Leaf]) -> list[np.ndarray | None]:
+    """Values of a leaf for each of its 2^d patterns of present features; none where d is above TABLE_FEATURES."""
+    sizes = [len(leaf.spans) for leaf in leaves]
+    return [np.ascontiguousarray(_leaf_values(leaf, _bits(np.arange(1 << d), d)).T) if 0 < d <= TABLE_FEATURES else None for leaf, d in zip(leaves, sizes)]
+
+
+def _shapley_block(x: np.ndarray, leaves: Sequence[Leaf], tables: Sequence[np.ndarray | None] | None = None) -> np.ndarray:
+    """Path-dependent Shapley values of a block of rows.
+
+    Rows with the same pattern of present features have the same values at a leaf, so they are looked up: in the leaf's
+    table, or among the patterns of this block. Leaves of all trees share their spans' tests.
+    """
+    columns, phi = np.ascontiguousarray(x.T), np.zeros((x.shape[1], len(x)))
+    tests: dict[tuple, np.ndarray] = {}
+
+    def inside(feature: int, span: tuple) -> np.ndarray:
+        if (feature, *span) not in tests:
+            tests[feature, *span] = ((columns[feature] > span[0]) & (columns[feature] <= span[1])).astype(np.int64)
+        return tests[feature, *span]
+
+    for leaf, table in zip(leaves, tables or leaf_tables(leaves)):
+        pattern = np.zeros(len(x), np.int64)
+        for m, (feature, span) in enumerate(leaf.spans.items()):
+            pattern |= inside(feature, span) << m
+        if table is None and leaf.spans:
+            seen, pattern = np.unique(pattern, return_inverse=True)
+            table = _leaf_values(leaf, _bits(seen, len(leaf.spans))).T
+        for j, feature in enumerate(leaf.spans):
+            phi[feature] += table[j].take(pattern)
+    return phi.T
 
 
 def base_value(leaves: Sequence[Leaf]) -> float:
@@ -126,7 +157,7 @@ def base_value(leaves: Sequence[Leaf]) -> float:
 
 def tree_attribution(df: DataFrame, id_col: str, leaves: Sequence[Leaf], names: Sequence[str], features: str = "features", keep: Sequence[str] = ()) -> DataFrame:
     """One row per input row with an attribution column per feature (plus ``keep``)."""
-    shared = df.sparkSession.sparkContext.broadcast(list(leaves))
+    shared = df.sparkSession.sparkContext.broadcast((list(leaves), leaf_tables(leaves)))
     flat = df.select(id_col, *keep, vector_to_array(features).alias("_x"))
     kept = [f for f in flat.schema.fields if f.name != "_x"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{n}` double" for n in names])
@@ -135,7 +166,7 @@ def tree_attribution(df: DataFrame, id_col: str, leaves: Sequence[Leaf], names:
         for pdf in batches:
             if not len(pdf):
                 continue
-            phi = _shapley_block(np.stack(pdf["_x"].to_numpy()), shared.value)
+            phi = _shapley_block(np.stack(pdf["_x"].to_numpy()), *shared.value)
             values = pd.DataFrame(phi, columns=list(names), index=pdf.index)
             yield pd.concat([pdf.drop(columns="_x"), values], axis=1)
 

@@ -194,3 +194,13 @@ def test_counted_rows_grow_the_trees_of_all_rows(spark):
     want = {r["claim_id"]: r["prob"] for r in models.score(whole, df).collect()}
     got = {r["claim_id"]: r["prob"] for r in models.score(model, models.coded(df, "features", splits)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_attribution_reads_patterns_instead_of_walking_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    leaves = [at.Leaf(float(v), {f: (-np.inf, 0.5) for f in range(d)}, {f: 0.5 for f in range(d)}) for d, v in ((3, 1.0), (7, 2.0), (0, 3.0))]
+    x, sizes, values = rng.random((5000, 7)), [], at._leaf_values
+    want = sum(values(leaf, (x[:, list(leaf.spans)] <= 0.5).astype(int)) @ np.eye(len(leaf.spans), 7) for leaf in leaves[:2])
+    monkeypatch.setattr(at, "_leaf_values", lambda leaf, present: sizes.append(len(present)) or values(leaf, present))
+    got = at._shapley_block(x, leaves)
+    assert np.allclose(got, want, atol=1e-12) and max(sizes) <= 128
