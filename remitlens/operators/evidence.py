@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,12 +14,18 @@ from remitlens.functions.scalar import lookup, two_digits
 from remitlens.functions.text import flagged, text_key, tokens
 from remitlens.operators.cosine_join import cosine_join, term_cells
 from remitlens.operators.text import hashed_vectors
-from remitlens.session import stage
+from remitlens.session import small_rows, stage
 
 CLASSES = ["complete", "omitted", "unsupported"]
 SMALL = 1e-9
 #: Requirement vectors that may be broadcast.
 MAX_REQUIREMENTS = 10_000
+#: Terms of all requirements that may travel with the tasks that score chunks.
+MAX_CELLS = 1_000_000
+#: Terms whose weights are broadcast, the most frequent ones.
+MAX_FREQUENT = 200_000
+#: Products, and scores, of one block of chunks.
+BLOCK_CELLS = 1 << 21
 POLICY_SCHEMA = "policy_id string, family string, source string, requirements array<struct<req_id:string,text:string>>"
 
 
@@ -38,14 +46,77 @@ def requirement_matches(requirements: DataFrame, chunks: DataFrame, threshold: f
     threshold. Term weights are fitted over the distinct texts of both sides. Requirements without a
     match have no row.
     """
-    asked = requirements.select(F.col("requirement_text").alias("text"))
-    records = chunks.select(F.col(chunk).alias("text"))
-    cells = stage(term_cells(asked.unionByName(records), "text", stop_words), "requirement-cells")
-    keys = lambda rows: rows.where(F.col("text").isNotNull()).select(text_key("text").alias("text_key")).distinct()
-    found = stage(cosine_join(cells.join(keys(asked), "text_key", "left_semi"), cells.join(keys(records), "text_key", "left_semi"), threshold), "requirement-pairs")
-    texts = records.where(F.col("text").isNotNull()).groupBy(text_key("text").alias("right_key")).agg(F.first("text").alias("chunk"))
-    shown = found.join(texts, "right_key").select("left_key", "chunk", F.col("similarity").alias("score"))
-    return requirements.withColumn("left_key", text_key("requirement_text")).join(shown, "left_key").drop("left_key")
+    if threshold <= 0:
+        raise ValueError("threshold: a pair without common terms has similarity 0 and is never listed")
+    both = requirements.select(F.col("requirement_text").alias("text"), F.lit(True).alias("asked")).unionByName(chunks.select(F.col(chunk).alias("text"), F.lit(False).alias("asked")))
+    distinct = both.where(F.col("text").isNotNull()).groupBy("text").agg(F.max("asked").alias("asked"), F.min("asked").alias("_no_record"))
+    # Numbers are shorter than digests; they are written with the texts.
+    texts = stage(distinct.withColumn("text_key", F.monotonically_increasing_id()), "requirement-texts")
+    records, keyed = texts.where(~F.col("_no_record")), requirements.withColumn("left_key", text_key("requirement_text"))
+    idf, norms = _corpus_weights(texts, texts, stop_words)
+    cells = stage(_term_counts(texts.where("asked"), stop_words).join(idf, "term").join(norms, "text_key").select("text_key", "term", (F.col("tf") * F.col("idf") / F.col("norm") * F.col("idf")).alias("w")), "requirement-cells")
+    if cells.count() > MAX_CELLS:
+        return _joined_matches(keyed, texts, records, threshold, stop_words)
+    held = small_rows(cells, MAX_CELLS, "terms of requirements")
+    names = sorted({r["text_key"] for r in held})
+    found = _scored(records.join(norms, "text_key"), held, names, threshold, stop_words)
+    listed = requirements.sparkSession.createDataFrame(list(enumerate(names)), "left int, text_key long")
+    listed = listed.join(texts.where("asked").select("text_key", text_key("text").alias("left_key")), "text_key").drop("text_key")
+    return _few(stage(keyed.join(listed, "left_key"), "requirements")).join(found, "left").drop("left", "left_key")
+
+
+def _scored(chunks: DataFrame, cells: Sequence, names: Sequence[str], threshold: float, stop_words: Sequence[str] | str) -> DataFrame:
+    """(left, chunk, score) of every chunk (text_key, text, norm) and requirement (its number in ``names``) at the threshold.
+
+    ``cells`` are the requirements' weights per occurrence of a term in a chunk, but for the chunk's norm. They travel with the
+    tasks, so that scores below the threshold exist only inside a block.
+    """
+    terms, number = {t: i for i, t in enumerate(sorted({r["term"] for r in cells}))}, {k: i for i, k in enumerate(names)}
+    order = sorted((terms[r["term"]], number[r["text_key"]], r["w"]) for r in cells)
+    slot, left, weight = (np.array([c[i] for c in order], t) for i, t in enumerate((np.int64, np.int64, float)))
+    starts = np.searchsorted(slot, np.arange(len(terms) + 1))
+    shared = chunks.sparkSession.sparkContext.broadcast((terms, starts, left, weight))
+
+    @F.pandas_udf("left array<int>, score array<double>")
+    def score(words: pd.Series, norm: pd.Series) -> pd.DataFrame:
+        terms, starts, left, weight = shared.value
+        width, norms = len(names), norm.to_numpy()
+        slots = np.array([terms.get(t, -1) for found in words for t in found], np.int64)
+        rows = np.repeat(np.arange(len(words)), words.map(len).to_numpy(np.int64))
+        # One entry a chunk and term, with its count.
+        code, tf = np.unique((rows * len(terms) + slots)[slots >= 0], return_counts=True)
+        rows, slots = code // max(1, len(terms)), code % max(1, len(terms))
+        sizes = starts[slots + 1] - starts[slots]
+        ends, work = np.searchsorted(rows, np.arange(len(words)), side="right"), np.r_[0, np.cumsum(sizes)]
+        lefts, scores, a = [], [], 0
+        while a < len(words):
+            first = ends[a - 1] if a else 0
+            b = min(int(np.searchsorted(work[ends], work[first] + BLOCK_CELLS, side="right")), a + max(1, BLOCK_CELLS // max(1, width)), len(words))
+            b = max(b, a + 1)
+            own = slice(first, ends[b - 1])
+            many = sizes[own]
+            at = np.repeat(starts[slots[own]] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+            place = np.repeat((rows[own] - a) * width, many) + left[at]
+            dots = np.bincount(place, np.repeat(tf[own], many) * weight[at], (b - a) * width).reshape(b - a, width)
+            dots = np.round(dots / norms[a:b, None], 9)
+            r, c = np.nonzero(dots >= threshold)
+            cuts = np.searchsorted(r, np.arange(1, b - a))
+            lefts += np.split(c.astype(np.int32), cuts)
+            scores += np.split(dots[r, c], cuts)
+            a = b
+        return pd.DataFrame({"left": pd.Series(lefts, dtype=object), "score": pd.Series(scores, dtype=object)})
+
+    scored = chunks.select(F.col("text").alias("chunk"), score(tokens("text", stop_words), "norm").alias("_s"))
+    return scored.select("chunk", F.inline(F.arrays_zip(F.col("_s.left").alias("left"), F.col("_s.score").alias("score")))).select("left", "chunk", "score")
+
+
+def _joined_matches(keyed: DataFrame, texts: DataFrame, records: DataFrame, threshold: float, stop_words: Sequence[str] | str) -> DataFrame:
+    """Matches of very many requirements, by a join on terms."""
+    cells = stage(term_cells(texts, "text", stop_words), "requirement-cells")
+    sides = [cells.join(side.select(text_key("text").alias("text_key")), "text_key", "left_semi") for side in (texts.where("asked"), records)]
+    found = stage(cosine_join(*sides, threshold), "requirement-pairs")
+    shown = found.join(records.select(text_key("text").alias("right_key"), F.col("text").alias("chunk")), "right_key")
+    return keyed.join(shown.select("left_key", "chunk", F.col("similarity").alias("score")), "left_key").drop("left_key")
 
 
 def case_texts(cases: DataFrame) -> DataFrame:
@@ -77,6 +148,13 @@ def lexical_weights(cases: DataFrame, stop_words: Sequence[str] | str = STOP_WOR
     A term outside the fitted corpus has no weight; a text without weighted terms has no row.
     """
     corpus = stage(case_texts(cases), "corpus")
+    sent = cases.select(F.explode("submitted_chunks").alias("text")).where(F.col("text").isNotNull())
+    other = sent.groupBy(text_key("text").alias("text_key")).agg(F.first("text").alias("text")).join(corpus.select("text_key"), "text_key", "left_anti")
+    return _corpus_weights(corpus, corpus.unionByName(other), stop_words)
+
+
+def _corpus_weights(corpus: DataFrame, texts: DataFrame, stop_words: Sequence[str] | str) -> tuple[DataFrame, DataFrame]:
+    """(term, idf) fitted on a corpus of distinct texts, and (text_key, norm) of the given texts."""
     n = corpus.count()
     idf = stage(
         corpus.select(F.inline(flagged(tokens("text", stop_words))))
@@ -85,10 +163,15 @@ def lexical_weights(cases: DataFrame, stop_words: Sequence[str] | str = STOP_WOR
         .select("term", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")),
         "idf",
     )
-    sent = cases.select(F.explode("submitted_chunks").alias("text")).where(F.col("text").isNotNull())
-    other = sent.groupBy(text_key("text").alias("text_key")).agg(F.first("text").alias("text")).join(corpus.select("text_key"), "text_key", "left_anti")
-    cells = _term_counts(corpus.unionByName(other), stop_words).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    return idf, stage(cells.groupBy("text_key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), "norms")
+    # Most occurrences are of frequent terms, whose weights go to the texts; only rare terms are shuffled to theirs.
+    frequent = stage(idf.orderBy("idf", "term").limit(MAX_FREQUENT), "frequent")
+    known = _term_counts(texts, stop_words).join(F.broadcast(frequent), "term", "left")
+    cells = known.where(F.col("idf").isNotNull()).select("text_key", "tf", "idf")
+    if idf.count() > MAX_FREQUENT:
+        rare = idf.join(F.broadcast(frequent), "term", "left_anti")
+        cells = cells.unionByName(known.where(F.col("idf").isNull()).drop("idf").join(rare, "term").select("text_key", "tf", "idf"))
+    w = F.col("tf") * F.col("idf")
+    return idf, stage(cells.groupBy("text_key").agg(F.sqrt(F.sum(w * w)).alias("norm")), "norms")
 
 
 def lexical_matches(cases: DataFrame, stop_words: Sequence[str] | str = STOP_WORDS) -> DataFrame:

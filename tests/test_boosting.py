@@ -233,3 +233,35 @@ def test_histograms_need_no_matrix_of_wide_cells():
             want[:, int(bins[i, 3] > 4), layout.starts[0][j] + bins[i, f]] += (p[i] - labels[i, 0]) * w[i], p[i] * (1 - p[i]) * w[i]
     assert np.allclose(got, want.ravel(), rtol=1e-12, atol=1e-12)
     assert peak < n * width * 4
+
+
+@pytest.mark.parametrize("cells,block,frequent", [(1_000_000, 1 << 21, 1000), (1_000_000, 8, 5), (0, 8, 5)])
+def test_requirements_are_scored_without_a_join_on_terms(spark, monkeypatch, cells, block, frequent):
+    rng = np.random.default_rng(11)
+    words = [f"w{int(i)}" for i in range(30)]
+    def text(): return " ".join(words[min(29, int(i))] for i in rng.exponential(6, int(rng.integers(0, 9))))  # noqa: E704
+    asked, chunks = [text() for _ in range(12)] + [None, "never_seen"], [text() for _ in range(150)] + [None, "", "other_word"]
+    chunks += chunks[:20] + asked[:2]
+    reqs = spark.createDataFrame([("p", f"r{i}", t) for i, t in enumerate(asked + asked[:1])], "policy_id string, req_id string, requirement_text string")
+    from remitlens.operators import evidence as ev
+    monkeypatch.setattr(ev, "MAX_CELLS", cells)
+    monkeypatch.setattr(ev, "BLOCK_CELLS", block)
+    monkeypatch.setattr(ev, "MAX_FREQUENT", frequent)
+    if cells:
+        monkeypatch.setattr(ev, "cosine_join", lambda *a: pytest.fail("pairs of texts were joined on their terms"))
+    got = ev.requirement_matches(reqs, spark.createDataFrame([(c,) for c in chunks], "chunk string"), 0.3, stop_words=())
+    assert got.columns == ["policy_id", "req_id", "requirement_text", "chunk", "score"]
+    every = {t for t in asked + chunks if t is not None}
+    df = {w: sum(w in t.split() for t in every) for t in every for w in t.split()}
+    def unit(t):
+        v = {w: t.split().count(w) * (np.log((1 + len(every)) / (1 + df[w])) + 1) for w in t.split()}
+        return {w: x / np.sqrt(sum(y * y for y in v.values())) for w, x in v.items()}
+    want = {}
+    for i, q in enumerate(asked + asked[:1]):
+        for c in {c for c in chunks if c is not None} if q is not None else ():
+            a, b = unit(q), unit(c)
+            s = sum(x * b.get(w, 0.0) for w, x in a.items())
+            if s >= 0.3:
+                want[f"r{i}", c] = s
+    found = {(r.req_id, r.chunk): r.score for r in got.collect()}
+    assert len(want) > 50 and found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-8 for k in want)
