@@ -13,7 +13,7 @@ from remitlens.constants import ACTION_BY_STATUS, DENSE_THRESHOLD, EXPLANATIONS,
 from remitlens.functions.scalar import lookup, two_digits
 from remitlens.functions.text import flagged, text_key, tokens
 from remitlens.operators.cosine_join import cosine_join, term_cells
-from remitlens.operators.text import hashed_vectors
+from remitlens.operators.text import hash_slots, hashed_vectors, slot_matrix
 from remitlens.session import small_rows, stage
 
 CLASSES = ["complete", "omitted", "unsupported"]
@@ -235,6 +235,26 @@ def best_matches(cases: DataFrame, vectors: DataFrame, similarity: Callable[[Col
     return _best(scored)
 
 
+def hashed_matches(cases: DataFrame, dim: int = 256) -> DataFrame:
+    """``best_matches`` by hashed token counts: a chunk's vector is made where it is scored, only requirements' vectors are kept."""
+    asked = cases.where(F.col("requirement_text").isNotNull()).groupBy(text_key("requirement_text").alias("q_key")).agg(F.first("requirement_text").alias("text"))
+    q = stage(hashed_vectors(asked, "text", dim, "vec").select("q_key", "vec"), "requirements")
+    if q.count() > MAX_REQUIREMENTS:
+        return best_matches(cases, dense_vectors(cases), _dense_dot)
+    held = small_rows(q, MAX_REQUIREMENTS, "requirement vectors")
+    shared = cases.sparkSession.sparkContext.broadcast(np.array([r["vec"] for r in held], float).reshape(-1, dim))
+    numbers = cases.sparkSession.createDataFrame([(r["q_key"], i) for i, r in enumerate(held)], "q_key string, number int")
+
+    @F.pandas_udf("double")
+    def cosine(slots: pd.Series, number: pd.Series) -> pd.Series:
+        out, known = np.zeros(len(slots)), number.notna().to_numpy()
+        out[known] = (slot_matrix(slots[known], dim) * shared.value[number[known].to_numpy(np.int64)]).sum(axis=1)
+        return pd.Series(out, index=slots.index)
+
+    paired = _pairs(cases).drop("c_key").join(F.broadcast(numbers), "q_key", "left")
+    return _best(paired.select("case_id", "side", "pos", "chunk", F.round(cosine(hash_slots("chunk", dim), "number"), 9).alias("score")))
+
+
 def classify_cases(cases: DataFrame, matches: DataFrame, threshold: float) -> DataFrame:
     """Three-way status per case; thresholds see full scores, the output is rounded to 3."""
     wide = matches.groupBy("case_id").agg(
@@ -267,7 +287,7 @@ def classify_lexical(cases: DataFrame, threshold: float = LEXICAL_THRESHOLD, sto
 
 def classify_dense(cases: DataFrame, threshold: float = DENSE_THRESHOLD, encode=None) -> DataFrame:
     cases = stage(cases, "cases")
-    return classify_cases(cases, best_matches(cases, dense_vectors(cases, encode), _dense_dot), threshold)
+    return classify_cases(cases, best_matches(cases, dense_vectors(cases, encode), _dense_dot) if encode else hashed_matches(cases), threshold)
 
 
 def deficiency_report(classified: DataFrame) -> DataFrame:

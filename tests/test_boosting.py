@@ -265,3 +265,14 @@ def test_requirements_are_scored_without_a_join_on_terms(spark, monkeypatch, cel
                 want[f"r{i}", c] = s
     found = {(r.req_id, r.chunk): r.score for r in got.collect()}
     assert len(want) > 50 and found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-8 for k in want)
+
+
+def test_dense_evidence_is_scored_from_the_chunk(spark, monkeypatch):
+    from remitlens.operators import evidence as ev
+    rows = [(1, "cardiac stress test", ["a cardiac stress test was done", "", "nothing else"]), (2, "cardiac stress test", None), (3, None, ["x ray of the chest"]), (4, "", ["-", None]), (5, "physical therapy", ["therapy", "physical therapy twice", "physical therapy twice"])]
+    cases = spark.createDataFrame([(i, t, c, (c or [])[:1]) for i, t, c in rows], "case_id int, requirement_text string, full_record_chunks array<string>, submitted_chunks array<string>")
+    want = sorted(map(str, ev.best_matches(cases, ev.dense_vectors(cases), ev._dense_dot).collect()))
+    monkeypatch.setattr(ev, "dense_vectors", lambda *a: pytest.fail("a vector was kept for every chunk"))
+    assert sorted(map(str, ev.hashed_matches(cases).collect())) == want and len(want) == 8
+    labelled = cases.selectExpr("*", "'r' AS req_id", "'complete' AS gold_variant")
+    assert ev.classify_dense(labelled).count() == 5
