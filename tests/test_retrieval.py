@@ -140,3 +140,39 @@ def test_one_hot_anchor_among_small_ones(spark):
     assert sizes["big"] == 13 and all(n == 1 for a, n in sizes.items() if a != "big")
     hits = rt.nearest(df, index, id_col="id", vec_col="v", k=6, anchor_col="a", exclude_self=True)
     assert found(hits) == brute(ids, x, 6, anchors=anchors, weight=1.0)
+
+
+def test_cells_rule_out_one_hot_blocks(spark, monkeypatch, tmp_path):
+    """Rows of few one-hot values and three numbers: exact, saved and loaded too, and few cells are visited."""
+    rng = np.random.default_rng(5)
+    n = 1200
+    x = np.concatenate([rng.normal(size=(n, 3)), *[np.eye(c)[rng.integers(0, c, n)] for c in (3, 4)]], axis=1)
+    ids = [f"c{i:04d}" for i in rng.permutation(n)]
+    df = vectors(spark, [(i, v.tolist()) for i, v in zip(ids, x)])
+    written, stage = {}, rt.stage
+
+    def recorded(rows, name):
+        written[name] = stage(rows, name)
+        return written[name]
+
+    monkeypatch.setattr(rt, "stage", recorded)
+    index = rt.build_index(df, id_col="id", vec_col="v", keep=6, metric="euclidean", block=(256, 64))
+    want = brute(ids, x, 5, "euclidean")
+    options = dict(id_col="id", vec_col="v", k=5, metric="euclidean", exclude_self=True, block=(256, 64))
+    assert found(rt.nearest(df, index, **options)) == want
+    visits = written["visits"].agg(F.sum(F.size("_visits"))).first()[0]
+    assert visits < n * len(index.clusters) / 2
+    monkeypatch.undo()
+    index.save(str(tmp_path / "index"))
+    assert found(rt.nearest(df, rt.VectorIndex.load(spark, str(tmp_path / "index")), **options)) == want
+
+
+def test_cells_of_few_values(spark):
+    """Ties across cells go to the smaller id; equal rows are never cut."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 2, size=(200, 7)).astype(float) + np.where(np.arange(7) == 0, rng.integers(0, 40, (200, 1)), 0.0)
+    ids = [f"c{i:04d}" for i in range(200)]
+    df = vectors(spark, list(zip(ids, x.tolist())))
+    assert found(rt.nearest(df, df, id_col="id", vec_col="v", k=4, metric="euclidean", exclude_self=True, block=(16, 8))) == brute(ids, x, 4, "euclidean")
+    cells, means = rt._Cells.grow(np.ones((9, 3)), 4)
+    assert len(means) == 1 and (cells.home(np.ones((2, 3))) == 0).all()
