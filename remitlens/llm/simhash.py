@@ -91,6 +91,8 @@ def links_within_two(prints: DataFrame) -> DataFrame:
     at most 2080 others within two bits, whatever the corpus, so the result is
     linear in the number of distinct fingerprints. The popcount of all bits splits
     the candidates further: it may differ by 2 at most and is compared in the join.
+    Spark takes the list for as small as ``prints``, as if nothing were exploded; the
+    merge join that is asked for keeps it from being broadcast.
     """
     at = segment_counts(F.col("fp"))
     nibble = lambda i: F.shiftrightunsigned(F.col("point"), SEGMENT_BITS * i).bitwiseAND(F.lit(15))
@@ -98,7 +100,7 @@ def links_within_two(prints: DataFrame) -> DataFrame:
     up = [F.when(nibble(i) < SEGMENT_BITS, F.col("point") + step(i)) for i in range(SEGMENTS)]
     down = [F.when(nibble(i) > 0, F.col("point") - step(i)) for i in range(SEGMENTS)]
     listed = prints.select("fp", at.alias("point")).select("fp", F.explode(F.array_compact(F.array(F.col("point"), *up, *down))).alias("point"))
-    a, b = listed.select("point", F.col("fp").alias("a")), listed.select("point", F.col("fp").alias("b"))
+    a, b = listed.select("point", F.col("fp").alias("a")).hint("merge"), listed.select("point", F.col("fp").alias("b"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
     return a.join(b, (a["point"] == b["point"]) & (F.col("a") < F.col("b")) & close).select("a", "b").distinct()
 

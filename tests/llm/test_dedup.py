@@ -83,6 +83,15 @@ def test_links_within_two_bits(spark):
     assert got == want and len(want) > 500
 
 
+def test_listed_points_are_not_broadcast(spark):
+    """The list of points is 33 times its fingerprints, which alone would be small enough to broadcast."""
+    prints = spark.createDataFrame([(x,) for x in (0, 1, 7)], "fp long")
+    links = links_within_two(prints)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {tuple(r) for r in links.collect()} == {(0, 1), (1, 7)}
+
+
 def test_components_follow_long_chains(spark):
     chain = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 501), (None, 4)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
