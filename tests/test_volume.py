@@ -102,3 +102,54 @@ def test_replicate_numbers_are_drawn_once_per_filter(spark):
 
     plan = bootstrap_weights(spark.range(5), "id", 3)._jdf.queryExecution().optimizedPlan().toString()
     assert all(line.count(f"% {PRIME}") <= 20 for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter"))
+
+
+def test_neighbours_are_named_without_joins(spark, monkeypatch):
+    """Payload and ids travel with the rows that are compared; keys of rows are not written, and only repeated queries are joined."""
+    staged = {}
+
+    def kept(df, name):
+        staged[name] = stage(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(rt, "stage", kept)
+    rows = [(i, [float(i), 1.0], f"p{i % 2}", i % 3) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, a string, y int")
+    same = {"id_col": "id", "vec_col": "v", "k": 2, "anchor_col": "a", "anchor_weight": 5.0}
+    index = rt.build_index(df, id_col="id", vec_col="v", keep=3, payload=["y"], anchor_col="a", anchor_weight=5.0)
+    hits = rt.nearest(df, index, exclude_self=True, payload=["y"], **same)
+    assert "Join" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "_i1" not in staged["index"].columns and staged["home"].columns == ["_q1", "_q2", "_own", "_hits"]
+    got = {(r.query_id, r["rank"]): (r.neighbour_id, r.y) for r in hits.collect()}
+    assert len(got) == 24 and all(n % 2 == q % 2 and n != q and y == n % 3 for (q, _), (n, y) in got.items())
+    # Two more ids for the vector of row 3: each id gets the same neighbours.
+    asked = df.unionByName(spark.createDataFrame([(i, [3.0, 1.0], "p1", 0) for i in (100, 101)], df.schema))
+    found = rt.nearest(asked, index, payload=["y"], **same).collect()
+    lists = {q: sorted((r["rank"], r.neighbour_id, r.y) for r in found if r.query_id == q) for q in (3, 100, 101)}
+    assert len(found) == 28 and lists[3] == lists[100] == lists[101] and lists[3][0] == (1, 3, 0)
+
+
+def test_blocks_are_joined_for_keys_of_several_only(spark):
+    """Without a key of several blocks nothing is joined to learn its blocks; a small part of a large index still is."""
+    df = spark.createDataFrame([(i, [float(i), 1.0], f"p{i}") for i in range(40)], "id long, v array<double>, a string")
+    index = rt.build_index(df, id_col="id", vec_col="v", keep=3, anchor_col="a", anchor_weight=5.0)
+    asked = rt._shaped(df, "v", "a", None, "_q1", "_q2").withColumns({"_own": F.struct("id"), "_home": F.lit(0)})
+    search = rt._block_search(index.geometry, 3, False, False)
+    plans = [rt._block_join(q, index.placed, ["_anchor", "_home"], (8, 8), search)._jdf.queryExecution().optimizedPlan().toString() for q in (asked, asked.where("id < 3"))]
+    assert "Join" not in plans[0] and "Join" in plans[1]
+
+
+def test_reasons_come_from_the_evidence_list(spark):
+    """As ``top_reasons`` has them, with one join of the neighbours instead of two."""
+    from remitlens.operators import support as sp
+
+    rows = [("a", 1, "x", 0.9, 1, "late"), ("a", 2, "y", 0.8, 1, "auth"), ("a", 3, "z", 0.7, 1, "auth"), ("a", 4, "w", 0.6, 1, None), ("a", 5, "v", 0.5, 0, "late")]
+    rows += [("b", 1, "x", 0.9, 0, None)]
+    rows += [("c", i + 1, f"n{i}", 0.5, 1, r) for i, r in enumerate(("d", "c", "b", "a", "d"))]
+    hits = spark.createDataFrame([(*r, "p") for r in rows], "query_id string, rank int, neighbour_id string, similarity double, denied int, reason_code string, provider_id string")
+    claims = spark.createDataFrame([(c, 0.4) for c in "abcd"], "claim_id string, prob double")
+    made = sp.decision_support(claims, hits)
+    want = {r.query_id: r.top_reasons for r in sp.top_reasons(hits).collect()}
+    assert {r.claim_id: r.top_reasons for r in made.collect()} == {c: want.get(c) for c in "abcd"} and set(want) == {"a", "c"}
+    assert made.schema["top_reasons"].dataType.simpleString() == "array<struct<reason:string,n:bigint>>"
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
