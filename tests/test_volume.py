@@ -153,3 +153,15 @@ def test_reasons_come_from_the_evidence_list(spark):
     assert {r.claim_id: r.top_reasons for r in made.collect()} == {c: want.get(c) for c in "abcd"} and set(want) == {"a", "c"}
     assert made.schema["top_reasons"].dataType.simpleString() == "array<struct<reason:string,n:bigint>>"
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_visits_return_what_may_still_win(spark):
+    """A cluster that is visited after the own one gives no rows that cost more than the worst already found; ties stay."""
+    import pyarrow as pa
+
+    x = [[0.0], [1.0], [2.0], [3.0]]
+    index = pa.table({"_vec": x, "_anchor": [""] * 4, "_time": [0] * 4, "_first": [1, 2, 3, 4], "_members": [[{"id": i}] for i in (1, 2, 3, 4)], "_home": [0, 0, 1, 1]})
+    asked = pa.table({"_q1": [1, 2, 3], "_q2": [1, 2, 3], "_own": [{"query_id": i} for i in (1, 2, 3)], "_vec": [[0.0]] * 3, "_anchor": [""] * 3, "_time": [0] * 3, "_visits": [[0, 1], [0, 1], [1]], "_tau": [1.0, None, 3.0]})
+    search = rt._block_search(rt._Geometry("euclidean", 0.0), 3, False, False)
+    got = {r["_q1"]: [(h["_cost"], h["_members"][0]["id"]) for h in r["_hits"]] for r in search(asked, index).to_pylist()}
+    assert got == {1: [(0.0, 1), (1.0, 2)], 2: [(0.0, 1), (1.0, 2), (4.0, 3)]}
